@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _FOLDERS: dict[str, tuple[SparkSession, str]] = {}
 
@@ -72,10 +73,65 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def by_batch(df: DataFrame, function, schema: str) -> DataFrame:
-    """``mapInPandas`` in batches of at most 1000 rows, so that a run of very long texts fits a worker."""
+def _small_batches(spark: SparkSession) -> None:
+    """At most 1000 rows in an Arrow batch, so that a run of very long texts fits a worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    spark = df.sparkSession
     if int(spark.conf.get(key, "10000")) > 1000:
         spark.conf.set(key, "1000")
-    return df.mapInPandas(function, schema)
+
+
+def kind_of(df: DataFrame, name: str) -> str:
+    return df.schema[name].dataType.simpleString()
+
+
+def _parsed(schema: str) -> StructType:
+    return StructType.fromDDL(schema)
+
+
+def per_text(docs: DataFrame, make, made: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id`` and the columns ``made`` for every row; ``make`` takes a list of texts and returns Arrow columns."""
+    _small_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
+    schema = f"doc_id {kind_of(rows, 'doc_id')}, {made}"
+    names = ["doc_id", *(f.name for f in _parsed(made).fields)]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), *make(batch.column(1).to_pylist())], names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def row_schema(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+def filtered(docs: DataFrame, keep, text_col: str = "text") -> DataFrame:
+    """Whole rows for whose text ``keep`` (a list of texts to a list of booleans) says so."""
+    _small_batches(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield batch.filter(pa.array(keep([t or "" for t in batch.column(at).to_pylist()]), pa.bool_()))
+
+    return docs.mapInArrow(run, row_schema(docs))
+
+
+def extended(docs: DataFrame, make, name: str, kind: str, text_col: str = "text") -> DataFrame:
+    """Whole rows with one more column, which ``make`` gives for a list of texts."""
+    _small_batches(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            new = make([t or "" for t in batch.column(at).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns, new], [*batch.schema.names, name])
+
+    return docs.mapInArrow(run, f"{row_schema(docs)}, `{name}` {kind}")

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, drop_written, whole_text, written
+from .common import drop_written, extended, per_text, written
 from .graph import components
 
 SHINGLE, SEED, BUDGET, BLOCKS, LEVEL = 3, 42, 2, 4, 8
@@ -41,13 +41,12 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``doc_id, fp`` for every row."""
 
-    def run(batches):
-        for batch in batches:
-            batch["fp"] = np.fromiter((fingerprint(t, shingle) for t in batch.pop("text")), np.int64, len(batch))
-            yield batch
+    def make(texts):
+        import pyarrow as pa
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return by_batch(docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text")), run, f"doc_id {kind}, fp bigint")
+        return [pa.array([fingerprint(t, shingle) for t in texts], pa.int64())]
+
+    return per_text(docs, make, "fp bigint", id_col, text_col)
 
 
 def _bits(at: list[int], width: int) -> Column:
@@ -102,6 +101,10 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budg
     and are linked like any others. Null ids get a component but never name one that has an id. An
     empty table gives an empty result; other columns are not looked at.
     """
+    return _grouped(docs, id_col, text_col, budget).drop("root")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, budget: int) -> DataFrame:
     marked = written(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     links = written(near_pairs(distinct.select("fp"), budget), "links")
@@ -111,10 +114,10 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budg
     joined = joined.select("fp", "first", F.coalesce("root", "fp").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     joined = written(joined, "rooted")
     named = joined.where("n_links > 0").groupBy("root").agg(F.min("first").alias("component_id"))
-    named = joined.join(named, "root", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), "n_links")
+    named = joined.join(named, "root", "left").select("fp", "root", F.coalesce("component_id", "first").alias("component_id"), "n_links")
     drop_written(docs.sparkSession, links)
     out = marked.join(named, "fp")
-    return out.select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links")
+    return out.select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links", "root")
 
 
 def keep_one(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
@@ -123,14 +126,11 @@ def keep_one(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     The smallest doc_id of a group stays; a null id stays only in a group without any other. Rows that
     repeat an id and a fingerprint count as one.
     """
-    found = written(groups(docs, budget=budget), "groups")
+    found = written(_grouped(docs, "doc_id", "text", budget), "groups")
+    if not found.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count():
+        return docs.join(found.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")
-    kept = found.where("doc_id = component_id")
-    repeated = found.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count()
-    if not repeated:
-        return docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
-    nameless = found.where("component_id is null").groupBy("fp").agg(F.min(first).alias("first")).select("first.doc_id", "first.fp")
-    ids = kept.groupBy("component_id").agg(F.min(first).alias("first")).select("first.doc_id", "first.fp").unionByName(nameless)
+    ids = found.groupBy("root").agg(F.min(first).alias("first")).select("first.doc_id", "first.fp")
     full = with_fingerprint(docs)
     match = full["doc_id"].eqNullSafe(ids["doc_id"]) & (full["fp_"] == ids["fp"])
     return full.join(ids, match, "left_semi").dropDuplicates(["doc_id", "fp_"]).select(docs.columns)
@@ -139,10 +139,9 @@ def keep_one(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
 def with_fingerprint(docs: DataFrame) -> DataFrame:
     """``docs`` with a further column ``fp_``."""
 
-    def run(batches):
-        for batch in batches:
-            batch["fp_"] = np.fromiter((fingerprint(t or "") for t in batch["text"]), np.int64, len(batch))
-            yield batch
+    def make(texts):
+        import pyarrow as pa
+
+        return pa.array([fingerprint(t) for t in texts], pa.int64())
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return by_batch(docs, run, f"{fields}, fp_ bigint")
+    return extended(docs, make, "fp_", "bigint")
