@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .codepoints import BREAK, batches_of, codes, tables
 from .common import filtered, kind_of, per_text, whole_text
 
 #: q-gram length; edits allowed for each character of an item; characters of a block of the benchmark.
@@ -27,29 +28,11 @@ Q, RATE, BLOCK_CHARS = 8, 0.1, 4_000_000
 AT_ONCE, PAIRS = 2_000_000, 4_000_000
 #: Bits of the tables of q-grams and of the coarse count.
 SLOTS, COARSE = 22, 20
-BREAK = 0x10FFFF
-
-
-@lru_cache(maxsize=1)
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """Lower case of every letter of the basic plane (where that is one letter), and which are white space."""
-    low, space = np.arange(1 << 16, dtype=np.uint32), np.zeros(1 << 16, bool)
-    for i in range(1 << 16):
-        c = chr(i)
-        if c.isspace():
-            space[i] = True
-        elif len(c.lower()) == 1:
-            low[i] = ord(c.lower())
-    return low, space
-
-
-def codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 def normalised(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Code points in lower case with runs of white space as one space, and the place of each in ``raw``."""
-    low, space = _tables()
+    low, space, _ = tables()
     basic = raw < (1 << 16)
     small = np.where(basic, raw, 0)
     out = np.where(basic, low[small], raw)
@@ -207,14 +190,8 @@ def align(text: np.ndarray, item: np.ndarray, lo: int, hi: int, anchored: bool =
 def matches(texts: list[str], index: Index) -> pd.DataFrame:
     """``row, item, edits, start, end``: each item in each text, at its best place (least edits, then first)."""
     out = []
-    start = 0
-    while start < len(texts):
-        stop, n = start, 0
-        while stop < len(texts) and (stop == start or n + len(texts[stop]) <= AT_ONCE):
-            n += len(texts[stop])
-            stop += 1
+    for start, stop in batches_of(texts, AT_ONCE):
         out += _matches(texts[start:stop], start, index)
-        start = stop
     found = pd.DataFrame(out, columns=["row", "item", "edits", "start", "end"])
     return found.sort_values(["row", "item", "edits", "start"]).drop_duplicates(["row", "item"])
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, pii, secrets, simhash
+from . import bpe, decontaminate, html, langid, minhash, pii, quality, secrets, simhash, wordpiece
 from .common import read
 
 QUERIES: dict = {}
@@ -39,3 +39,28 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(read(spark, sf_dir, "documents"))
+
+
+@query
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.learn_and_score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.learn_and_identify(read(spark, sf_dir, "documents"))
+
+
+@query
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read(spark, sf_dir, "pages"))
+
+
+@query
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.compare_with_next(read(spark, sf_dir, "documents"))
+
+
+@query
+def op7_wordpiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.count_tokens(read(spark, sf_dir, "documents"))
