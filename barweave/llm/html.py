@@ -41,7 +41,7 @@ _STOPS = frozenset(w for words in STOP_WORDS.values() for w in words.split())
 #: Characters of a short and of a long block; shares of stop words and of link text.
 SHORT, LONG, STOPS_LOW, STOPS_HIGH, LINKS = 60, 180, 0.12, 0.25, 0.4
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([^\s=\"'/>]+)")
 _NAME = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -151,6 +151,8 @@ def blocks(html: str) -> list[Block]:
         if closing:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
+                    if stack[i].out and not stack[i - 1].out:
+                        flush()
                     heading = 0 if block else heading
                     del stack[i:]
                     break
