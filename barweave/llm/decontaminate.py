@@ -122,12 +122,13 @@ class Index:
             reach = (total[cuts[-1] - 1] if cuts[-1] else 0) + PAIRS
             cuts.append(max(cuts[-1] + 1, int(np.searchsorted(total, reach, "right"))))
 
-        def pairs(start: int, stop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        def pairs(start: int, stop: int) -> tuple[np.ndarray, ...]:
             many = n[start:stop]
             which = np.repeat(self.first[slots[places[start:stop]]] - np.cumsum(many) + many, many) + np.arange(many.sum())
             item = self.item[which]
-            diagonal = np.repeat(places[start:stop], many) - self.at[which] + spare
-            return item, diagonal, item * span + diagonal // self.step[item]
+            at = self.at[which]
+            diagonal = np.repeat(places[start:stop], many) - at + spare
+            return item, diagonal, item * span + diagonal // self.step[item], at
 
         # A coarse count of all pairs first: most bands are far from the bound.
         seen = np.zeros(1 << COARSE, np.int64)
@@ -137,17 +138,19 @@ class Index:
             seen += np.bincount(_coarse((made or pairs(*part))[2]), minlength=1 << COARSE)
         found = []
         for part, made in zip(parts, held, strict=True):
-            item, diagonal, key = made or pairs(*part)
+            item, diagonal, key, at = made or pairs(*part)
             most = seen[_coarse(key)]
             most = most + np.maximum(seen[_coarse(key - 1)], seen[_coarse(key + 1)])
             keep = most >= self.bound[item]
-            found.append((item[keep], diagonal[keep], key[keep]))
+            found.append((item[keep], diagonal[keep], key[keep], at[keep]))
         if not sum(len(f[0]) for f in found):
             return pd.DataFrame({"doc": [], "item": [], "lo": [], "near": []})
-        item, diagonal, key = (np.concatenate([f[i] for f in found]) for i in range(3))
+        item, diagonal, key, at = (np.concatenate([f[i] for f in found]) for i in range(4))
         # Every q-gram counts for the band that starts at its own step, and for the one that starts a step before.
-        hits = pd.DataFrame({"key": np.concatenate([key, key - 1]), "item": np.tile(item, 2), "diagonal": np.tile(diagonal, 2)})
-        n_hits = hits.groupby("key")["item"].transform("size").to_numpy()
+        # The lemma is about places in the item, so a place that a repetitive text hits again counts once.
+        hits = pd.DataFrame({"key": np.concatenate([key, key - 1]), "item": np.tile(item, 2), "diagonal": np.tile(diagonal, 2), "at": np.tile(at, 2)})
+        once = hits[["key", "at"]].drop_duplicates().groupby("key").size()
+        n_hits = once.reindex(hits["key"]).to_numpy()
         hits = hits[n_hits >= self.bound[hits["item"].to_numpy()]]
         if hits.empty:
             return pd.DataFrame({"doc": [], "item": [], "lo": [], "near": []})
@@ -165,10 +168,11 @@ class Index:
         return out.drop(columns="last").reset_index(drop=True)
 
 
-def align(text: np.ndarray, item: np.ndarray, lo: int, hi: int, anchored: bool = False) -> tuple[int, int]:
+def align(text: np.ndarray, item: np.ndarray, lo: int, hi: int, most: int, anchored: bool = False) -> tuple[int, int]:
     """Least edits that turn ``item`` into a piece of ``text``, and the end of that piece, within diagonals lo..hi.
 
     The piece may start anywhere on those diagonals; if ``anchored``, it starts at place 0. Ties: the first end.
+    As soon as ``most`` edits cannot be enough, the answer is more than that.
     """
     width = hi - lo + 1
     across = np.arange(width)
@@ -183,6 +187,8 @@ def align(text: np.ndarray, item: np.ndarray, lo: int, hi: int, anchored: bool =
         row = np.minimum.accumulate(new - across) + across
         end = across + lo + i + 1
         row = np.where((end >= 0) & (end <= len(text)), row, far)
+        if i & 3 == 3 and row.min() > most:
+            return most + 1, 0
     best = int(row.argmin())
     return int(row[best]), best + lo + len(item)
 
@@ -217,11 +223,14 @@ def _matches(texts: list[str], offset: int, index: Index) -> list[tuple]:
             got, first, last = 0, near, near + len(item)
         else:
             left = max(begin, lo - edits)
-            piece = text[left : min(end, lo + 2 * int(index.step[k]) + len(item) + edits)].astype(np.int64)
-            got, stop = align(piece, item, lo - edits - left, lo + 2 * int(index.step[k]) + edits - left)
+            right = min(end, lo + 2 * int(index.step[k]) + len(item) + edits)
+            if right - left < len(item) - edits:
+                continue
+            piece = text[left:right].astype(np.int64)
+            got, stop = align(piece, item, lo - edits - left, lo + 2 * int(index.step[k]) + edits - left, edits)
             if got > edits:
                 continue
-            size = align(piece[:stop][::-1], item[::-1], -got, got, anchored=True)[1]
+            size = align(piece[:stop][::-1], item[::-1], -got, got, got, anchored=True)[1]
             first, last = left + max(0, stop - size), left + stop
         out.append((offset + doc, k, got, int(at[first] - raw_edges[doc]), int(at[last - 1] + 1 - raw_edges[doc])))
     return out
