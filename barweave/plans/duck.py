@@ -200,8 +200,9 @@ def stages(formulas: dict[str, str], panel: str, dialect: str = "panel", fill: b
     return ", ".join(ctes), f"{prefix}s{len(laid.stages)}", {k: finished(n) for k, n in laid.outputs.items()}
 
 
-#: Publishing steps: below each bound a double is rounded to the step, half up; nine to twelve digits stay.
-STEPS = ((1e3, 1e-6), (1e6, 1e-3), (1e9, 1.0), (1e12, 1e3), (1e24, 1e9))
+#: Publishing steps: below each bound a double is rounded to the step, half up; nine to twelve digits
+#: stay, and no step has its half among sums of cents.
+STEPS = ((1e3, 1e-6), (1e6, 1e-3), (1e9, 1e-2), (1e12, 30.0), (1e24, 3e9))
 
 
 def rounded(x: str) -> str:
