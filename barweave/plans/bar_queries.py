@@ -302,8 +302,8 @@ def search_vector_energy(spark, sf_dir):
     {duck.rounded('arg_max(value, row(ts, event_id))')} AS close, count(*) AS n FROM events GROUP BY 1, time_bucket(INTERVAL 6 HOUR, ts)"""
 )
 def stream_window_bars(spark, sf_dir):
-    path = f"{sf_dir.rstrip('/')}/events.parquet"
-    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    schema = panels.table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     rows = events.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("value").alias("price"), F.lit(1.0).alias("volume"))
     name = f"window_bars_{uuid.uuid4().hex[:8]}"
     folder = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()).rstrip('/')}/{name}"

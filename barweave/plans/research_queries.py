@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ops import with_column, with_factors
+from ..operators import bars
 from ..operators import research as r
+from ..operators import validation as v
 from ..sources import panels
 from . import duck
 from .factor_queries import published
@@ -277,3 +279,69 @@ def research_report(spark, sf_dir):
     turn = book.agg((F.avg("turnover") * 252).alias("turnover"))
     mono = r.monotonicity(r.bucket_returns(scored))
     return r.composite_score(ic.crossJoin(perf).crossJoin(turn).crossJoin(mono))  # each is one row
+
+
+def _book(spark, sf_dir):
+    return r.long_short(_scored(spark, sf_dir), cost=0.001)
+
+
+@query(f"WITH {_BOOK}, i AS (SELECT net AS r, row_number() OVER (ORDER BY date) AS i FROM book), f AS (SELECT ((i - 101) // 50)::INT AS fold, count(r) AS n, avg(r) AS mean, stddev_samp(r) AS sd FROM i WHERE i > 100 GROUP BY 1) SELECT fold, n, {_r('mean')}, {duck.rounded('mean / nullif(sd, 0) * sqrt(252.0::DOUBLE)')} AS sharpe FROM f")
+def validation_walk_forward(spark, sf_dir):
+    return v.walk_forward(_book(spark, sf_dir), "net", 100, 50)
+
+
+@query(f"WITH {_BOOK}, m AS (SELECT gross - multiplier * 0.001 * turnover AS net, multiplier FROM book, (SELECT unnest([0.0::DOUBLE, 0.5, 1, 2, 4]) AS multiplier)) SELECT multiplier, {duck.rounded('avg(net)')} AS mean, {duck.rounded('avg((net > 0)::INT)')} AS positive FROM m GROUP BY multiplier")
+def validation_cost_sensitivity(spark, sf_dir):
+    return v.cost_sensitivity(_book(spark, sf_dir), 0.001)
+
+
+@query()
+def validation_parameter_grid(spark, sf_dir):
+    return v.parameter_grid(panels.shipment_bars(spark, sf_dir), [3, 5, 10], [10, 20, 40])
+
+
+@query()
+def validation_monte_carlo(spark, sf_dir):
+    return v.monte_carlo(_book(spark, sf_dir), "net", 200)
+
+
+@query()
+def validation_bootstrap_interval(spark, sf_dir):
+    return v.bootstrap_interval(r.daily_ic(_scored(spark, sf_dir)))
+
+
+_SPREAD = f"{duck.PANEL_L_OWN}, sp AS (SELECT a.date, a.close - b.close AS close FROM panel a JOIN panel b ON a.date = b.date WHERE a.symbol = '1' AND b.symbol = '2')"
+_W20 = "OVER (ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
+
+
+@query(
+    f"""WITH {_SPREAD}, z AS (SELECT date, CASE WHEN count(close) {_W20} >= 20 THEN (close - avg(close) {_W20}) / nullif(stddev_samp(close) {_W20}, 0) END AS z FROM sp),
+    m AS (SELECT *, CASE WHEN z > 1.5 THEN -1 WHEN z < -1.5 THEN 1 WHEN abs(z) < 0.5 THEN 0 END AS mark FROM z) SELECT {_D}, {_r('z')}, coalesce(last_value(mark IGNORE NULLS) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS position FROM m"""
+)
+def strategy_pair(spark, sf_dir):
+    rows = panels.shipment_bars(spark, sf_dir)
+    return v.pair_signal(bars.spread(rows.where("symbol = '1'"), rows.where("symbol = '2'")), 20, 1.5, 0.5)
+
+
+@query(f"WITH {duck.PANEL_L_OWN}, m AS (SELECT date, symbol, close / nullif(lag(close, 20) OVER (PARTITION BY symbol ORDER BY date), 0) - 1 AS r FROM panel) SELECT {_D}, symbol, CASE WHEN r > 0.02 THEN 1 WHEN r < -0.02 THEN -1 ELSE 0 END AS position FROM m")
+def strategy_momentum(spark, sf_dir):
+    return v.momentum_signal(panels.shipment_bars(spark, sf_dir))
+
+
+@query(
+    f"""WITH {duck.PANEL_L_OWN}, m AS (SELECT *, max(high) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS top, CASE WHEN count(close) OVER w >= 20 THEN avg(close) OVER w END AS trend FROM panel WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+    n AS (SELECT *, lag(top) OVER (PARTITION BY symbol ORDER BY date) AS before FROM m) SELECT {_D}, symbol, coalesce(close - trend > 0 AND close - before >= 0, false) AS buy FROM n"""
+)
+def strategy_third_buy(spark, sf_dir):
+    return v.third_buy_signal(panels.shipment_bars(spark, sf_dir))
+
+
+@query(
+    """WITH s AS (SELECT o_custkey, avg(o_totalprice) / 150000 AS sharpe, -count(*) / 100.0::DOUBLE AS max_drawdown, count(*) * 3 AS days, max(o_totalprice) / 300000 AS calmar, avg((o_orderstatus = 'F')::INT) AS win_rate FROM orders GROUP BY 1)
+    SELECT o_custkey, array_to_string(list_filter([CASE WHEN sharpe < 1 THEN 'sharpe' END, CASE WHEN max_drawdown < -0.15 THEN 'drawdown' END, CASE WHEN days < 30 THEN 'days' END, CASE WHEN calmar < 1 THEN 'calmar' END, CASE WHEN win_rate < 0.45 THEN 'win_rate' END], lambda x: x IS NOT NULL), ',') AS reasons,
+    NOT (sharpe < 1 OR max_drawdown < -0.15 OR days < 30 OR calmar < 1 OR win_rate < 0.45) AS promoted FROM s""")
+def validation_promotion(spark, sf_dir):
+    o = panels.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(
+        (F.avg("o_totalprice") / 150000).alias("sharpe"), (-F.count(F.lit(1)) / 100.0).alias("max_drawdown"), (F.count(F.lit(1)) * 3).alias("days"), (F.max("o_totalprice") / 300000).alias("calmar"), F.avg((F.col("o_orderstatus") == "F").cast("double")).alias("win_rate")
+    )
+    return v.promotion(o).select("o_custkey", "reasons", "promoted")
