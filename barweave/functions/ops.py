@@ -66,19 +66,29 @@ def frame(x: Column, n: int) -> Column:
     return F.transform(F.collect_list(F.struct(x.alias("v"))).over(trailing(n)), lambda e: e["v"])
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)``, with ``value`` computed once for a row."""
+    return F.transform(F.array(value), body)[0]
+
+
 def share_above(x: Column, n: int) -> Column:
     """Share of the window's rows that are greater than its last value; 0 where that is NULL."""
-    x = steady(x)
-    values = F.collect_list(F.struct(x.alias("v"))).over(trailing(n))
-    return F.size(F.filter(values, lambda e: F.coalesce(e["v"] > x, F.lit(False)))) / F.size(values)
+    window = F.collect_list(F.struct(steady(x).alias("v"))).over(trailing(n))
+
+    def share(values: Column) -> Column:
+        last = F.element_at(values, -1)["v"]
+        return F.size(F.filter(values, lambda e: F.coalesce(e["v"] > last, F.lit(False)))) / F.size(values)
+
+    return let(window, share)
 
 
 def arg_extreme(x: Column, n: int, best) -> Column:
     """n less the place (from 1) of the first extreme value; of the first NULL, if there is one."""
-    x = steady(x)
-    values = frame(x, n)
-    gap = F.array_position(F.transform(values, lambda v: v.isNull()), True)
-    return F.lit(float(n)) - F.when(gap > 0, gap).otherwise(F.array_position(values, best(values)))
+    def place(values: Column) -> Column:
+        gap = F.array_position(F.transform(values, lambda v: v.isNull()), True)
+        return F.lit(float(n)) - F.when(gap > 0, gap).otherwise(F.array_position(values, best(values)))
+
+    return let(frame(steady(x), n), place)
 
 
 def co(a: Column, b: Column, w: W, mp: int, what: str) -> Column:

@@ -58,8 +58,9 @@ def monte_carlo(returns: DataFrame, column: str, paths: int = 500, seed: int = 4
             out = []
             for path in part["id"].tolist():
                 draw = np.random.default_rng([seed, path]).choice(series, len(series)) if len(series) else series
-                equity = np.concatenate([[1.0], np.cumprod(1 + np.maximum(draw, -0.999999))])
-                out.append((path, float(equity[-1] - 1), float((equity / np.maximum.accumulate(equity) - 1).min())))
+                log_equity = np.concatenate([[0.0], np.cumsum(np.log1p(np.maximum(draw, -0.999999)))])
+                total = float(np.expm1(log_equity[-1])) if log_equity[-1] < 700 else None  # beyond what a double holds
+                out.append((path, total, float(np.expm1(log_equity - np.maximum.accumulate(log_equity)).min())))
             yield pd.DataFrame(out, columns=["path", "total", "drawdown"])
 
     return returns.sparkSession.range(paths).mapInPandas(run, "path long, total double, drawdown double")

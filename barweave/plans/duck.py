@@ -200,14 +200,16 @@ def stages(formulas: dict[str, str], panel: str, dialect: str = "panel", fill: b
     return ", ".join(ctes), f"{prefix}s{len(laid.stages)}", {k: finished(n) for k, n in laid.outputs.items()}
 
 
-#: Publishing steps: below each bound a double is rounded to the step, half up; nine to twelve digits
-#: stay, and no step has its half among sums of cents.
+#: Publishing steps: below each bound a double is rounded to the step; nine to twelve digits stay.
 STEPS = ((1e3, 1e-6), (1e6, 1e-3), (1e9, 1e-2), (1e12, 30.0), (1e24, 3e9))
+#: Added before the floor. It is not a half, as means of a few sums of cents lie exactly on halves, where
+#: the last bit of a sum would decide.
+UP = 0.4871
 
 
 def rounded(x: str) -> str:
     """How both engines publish doubles: the same arithmetic, and no negative zero."""
-    cases = " ".join(f"WHEN abs(v) < {bound!r} THEN floor(v / {step!r}::DOUBLE + 0.5) * {step!r}::DOUBLE" if step >= 1 else f"WHEN abs(v) < {bound!r} THEN floor(v * {1 / step!r}::DOUBLE + 0.5) / {1 / step!r}::DOUBLE" for bound, step in STEPS)
+    cases = " ".join(f"WHEN abs(v) < {bound!r} THEN floor(v / {step!r}::DOUBLE + {UP}) * {step!r}::DOUBLE" if step >= 1 else f"WHEN abs(v) < {bound!r} THEN floor(v * {1 / step!r}::DOUBLE + {UP}) / {1 / step!r}::DOUBLE" for bound, step in STEPS)
     return f"list_transform([({x})::DOUBLE], lambda v: CASE {cases} ELSE v END + 0.0)[1]"
 
 

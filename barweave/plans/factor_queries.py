@@ -35,7 +35,7 @@ def rounded(v: Column) -> Column:
     """As :func:`duck.rounded`."""
     out = v
     for bound, step in reversed(duck.STEPS):
-        near = F.floor(v / step + 0.5).cast("double") * step if step >= 1 else F.floor(v * (1 / step) + 0.5).cast("double") / (1 / step)
+        near = F.floor(v / step + duck.UP).cast("double") * step if step >= 1 else F.floor(v * (1 / step) + duck.UP).cast("double") / (1 / step)
         out = F.when(F.abs(v) < bound, near).otherwise(out)
     return out + 0.0
 
