@@ -340,14 +340,19 @@ def finished(x: Column, fill: bool) -> Column:
     return F.coalesce(x, F.lit(0.0)) if fill else x
 
 
-def with_column(panel: DataFrame, name: str, formula: str, dialect: str = "panel") -> DataFrame:
-    """``panel`` with one more column, which holds a formula and keeps its NULLs."""
-    laid = plan({name: parse(formula, dialect)})
+def with_columns(panel: DataFrame, formulas: dict[str, str], dialect: str = "panel") -> DataFrame:
+    """``panel`` with one more column for each formula, which keeps its NULLs; compiled together."""
+    laid = plan({k: parse(v, dialect) for k, v in formulas.items()})
     backend, keep = SparkBackend(), panel.columns
     df = panel.withColumn(ROW, F.row_number().over(in_time()))
     for stage in laid.stages:
         df = df.select("*", *(build(n, backend).alias(c) for c, n in stage))
-    return df.select(*keep, finished(build(laid.outputs[name], backend), False).alias(name))
+    return df.select(*keep, *(finished(build(n, backend), False).alias(k) for k, n in laid.outputs.items()))
+
+
+def with_column(panel: DataFrame, name: str, formula: str, dialect: str = "panel") -> DataFrame:
+    """``panel`` with one more column, which holds a formula and keeps its NULLs."""
+    return with_columns(panel, {name: formula}, dialect)
 
 
-__all__ = ["Node", "SparkBackend", "with_column", "with_factors"]
+__all__ = ["Node", "SparkBackend", "with_column", "with_columns", "with_factors"]

@@ -87,6 +87,21 @@ def order_checks(orders: DataFrame, denied: DataFrame, most_notional: float, mos
     return marked.withColumn("verdict", verdict).drop("denied")
 
 
+ACTIVE = ("SUBMITTING", "NOT_TRADED", "PART_TRADED")
+
+
+def frozen_volume(orders: DataFrame) -> DataFrame:
+    """``symbol, frozen``: signed volume that active orders may still trade."""
+    left = F.when(F.col("status").isin(*ACTIVE), F.col("side") * (F.col("volume") - F.coalesce("traded", F.lit(0.0)))).otherwise(0.0)
+    return orders.groupBy("symbol").agg(F.sum(left).alias("frozen"))
+
+
+def overdue(orders: DataFrame, now: str, seconds: int = 300) -> DataFrame:
+    """Active orders that are at least ``seconds`` old at ``now``, with their ``age``; these are to be cancelled."""
+    age = F.unix_seconds(F.lit(now).cast("timestamp")) - F.unix_seconds(F.col("ts").cast("timestamp"))
+    return orders.where(F.col("status").isin(*ACTIVE)).withColumn("age", age).where(F.col("age") >= seconds)
+
+
 def dual_average(panel: DataFrame, fast: int, slow: int) -> DataFrame:
     """``panel`` with ``target``: 1 while the fast mean is above the slow one, else -1; 0 in the first slow + 5 bars."""
     formulas = {"target": f"where(gated_mean(close,{fast},{fast})>gated_mean(close,{slow},{slow}),1,-1)", "ready": f"gated_mean(close,{slow + 5},{slow + 5})"}

@@ -49,7 +49,7 @@ def daily_ic(df: DataFrame, factor: str = "value", fwd: str = "fwd", least: int
 def ic_statistics(ic: DataFrame, column: str = "rank_ic") -> DataFrame:
     """``n, mean, std, ir, positive``: over the dates that have a coefficient."""
     x = F.col(column)
-    out = ic.where(x.isNotNull()).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.avg((x > 0).cast("double")).alias("positive"))
+    out = ic.where(x.isNotNull()).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.avg((x > 1e-12).cast("double")).alias("positive"))
     return out.withColumn("ir", ratio(F.col("mean"), F.col("std")))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.ops import ratio, with_factors
+from ..functions.ops import ratio, with_columns, with_factors
 
 
 def walk_forward(returns: DataFrame, column: str, train: int, test: int) -> DataFrame:
@@ -109,6 +109,68 @@ def third_buy_signal(panel: DataFrame, trend: int = 20, breakout: int = 10) -> D
     return made.select("date", "symbol", F.coalesce((F.col("up") > 0) & (F.col("over") >= 0), F.lit(False)).alias("buy"))
 
 
+def bollinger_recover(panel: DataFrame, window: int = 20, width: float = 2.0, within: int = 5, stop: float = 0.05) -> DataFrame:
+    """``date, symbol, position``: long when the close comes back over the lower band within some bars of leaving it, short likewise above.
+
+    A position ends at the middle, or beyond the stop. Bands are windows; what is held depends on what was
+    held before, so a symbol's bars are folded in order.
+    """
+    spread = ((window - 1) / window) ** 0.5
+    made = with_columns(panel, {"mid": f"gated_mean(close,{window},{window})", "sd": f"gated_std(close,{window},{window})", "ready": f"gated_mean(close,{window + 5},{window + 5})"}, "single")
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("date")
+        away: dict[int, int | None] = {1: None, -1: None}
+        held, entry, out = 0, 0.0, []
+        for close, mid, sd, ready in zip(part["close"].tolist(), part["mid"].tolist(), part["sd"].tolist(), part["ready"].tolist(), strict=True):
+            back = {}
+            if ready is not None and ready == ready:
+                for side in (1, -1):
+                    beyond = side * (mid - close) - width * sd * spread
+                    if beyond > 0:
+                        away[side] = 0
+                    elif away[side] is not None:
+                        away[side] += 1
+                        back[side] = away[side] <= within and beyond < 0
+                        if back[side]:
+                            away[side] = None
+                if held and (held * (close - mid) < 0 or held * (close / entry - 1) < -stop):
+                    held = 0
+                if not held and any(back.values()):
+                    held, entry = (1 if back.get(1) else -1), close
+            out.append(held)
+        return pd.DataFrame({"date": part["date"], "symbol": part["symbol"], "position": out})
+
+    return made.select("date", "symbol", "close", "mid", "sd", "ready").groupBy("symbol").applyInPandas(run, "date date, symbol string, position int")
+
+
+def first_buy(panel: DataFrame, trend: int = 60, lows: int = 20, speed: int = 10) -> DataFrame:
+    """``date, symbol, position``: long where, under the trend, a new low comes with more momentum than the low before it.
+
+    It ends above the trend, or under the low that it was bought at. Folded by symbol, as lows are compared with remembered ones.
+    """
+    made = with_columns(panel, {"mean": f"gated_mean(close,{trend},{trend})", "rate": f"momentum(close,{speed})"}, "single")
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("date")
+        close, low, mean, rate = (part[c].to_numpy(float) for c in ("close", "low", "mean", "rate"))
+        held, bought, known = 0, np.inf, None
+        out = np.zeros(len(part), np.int32)
+        for t in range(trend + speed + 4, len(part)):
+            at = t - int(np.argmin(low[t - lows + 1 : t + 1][::-1]))
+            now = (low[at], rate[at])
+            if known is not None and close[t] < mean[t] and now[0] < known[0] and now[1] > known[1]:
+                held, bought, known = 1, now[0], now
+            else:
+                known = now if known is None or now[0] < known[0] else known
+                if close[t] > mean[t] or close[t] < bought:
+                    held = 0
+            out[t] = held
+        return pd.DataFrame({"date": part["date"], "symbol": part["symbol"], "position": out})
+
+    return made.select("date", "symbol", "close", "low", "mean", "rate").groupBy("symbol").applyInPandas(run, "date date, symbol string, position int")
+
+
 def look_ahead(now: DataFrame, ahead: DataFrame, column: str = "rank_ic", most: float = 0.9) -> DataFrame:
     """``now, ahead, suspect``: a factor that knows the same day's return, but not the next one's, looks ahead."""
     a, b = now.agg(F.avg(F.abs(column)).alias("now")), ahead.agg(F.avg(F.abs(column)).alias("ahead"))

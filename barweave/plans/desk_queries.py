@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ops import with_column, with_factors
-from ..operators import attribution, desk
+from ..operators import accounts, attribution, desk, formula_search
 from ..operators import research as r
 from ..sources import panels
 from . import duck
@@ -205,3 +205,48 @@ def research_learned_factor(spark, sf_dir):
     panel = panels.complete(panels.shipment_bars(spark, sf_dir))
     rows = with_factors(panel, THREE, fill=False).join(r.forward_return(panel).select("date", "symbol", "fwd"), ["date", "symbol"])
     return attribution.learned_factor(rows, list(THREE), "fwd")
+
+
+_BATCH = {"reversal": "-delta(close,5)/close", "activity": "volume/mean(volume,10)", "range": "(high-low)/close", "trend": "mean(close,5)/mean(close,20)-1", "co": "-corr(rank(close),rank(volume),10)"}
+_CB, _LB, _OB = duck.stages(_BATCH, "panel", fill=False)
+_PLACE = "rank() OVER (PARTITION BY name, date ORDER BY {0}) + (count(*) OVER (PARTITION BY name, date, {0}) - 1) / 2.0::DOUBLE"
+
+
+@query(
+    f"""WITH {duck.PANEL_L_FULL}, {_CB}, v AS (SELECT date, lead(close) OVER (PARTITION BY symbol ORDER BY date) / nullif(close, 0) - 1 AS fwd, {', '.join(f'{x} AS "{k}_"' for k, x in _OB.items())} FROM {_LB}),
+    e AS ({' UNION ALL '.join(f"SELECT '{k}' AS name, date, {k}_ AS x, fwd FROM v" for k in _BATCH)}), q AS (SELECT name, date, {duck.steady('x')} AS x, {duck.steady('fwd')} AS y FROM e WHERE x IS NOT NULL AND fwd IS NOT NULL),
+    p AS (SELECT name, date, {_PLACE.format('x')} AS rx, {_PLACE.format('y')} AS ry FROM q),
+    c AS (SELECT name, date, CASE WHEN stddev_samp(rx) * stddev_samp(ry) > 1e-12 THEN covar_samp(rx, ry) / (stddev_samp(rx) * stddev_samp(ry)) END AS ic FROM p GROUP BY 1, 2 HAVING count(*) >= 3),
+    s AS (SELECT name, count(ic) AS n, avg(ic) AS mean, stddev_samp(ic) AS std, avg((ic > 1e-12)::INT) AS positive FROM c WHERE ic IS NOT NULL GROUP BY name) SELECT name, n, {_r('mean', 'std', 'positive')}, {duck.rounded('mean / nullif(std, 0)')} AS ir FROM s"""
+)
+def research_batch_report(spark, sf_dir):
+    return formula_search.batch_report(panels.complete(panels.shipment_bars(spark, sf_dir)), _BATCH)
+
+
+@query()
+def research_deduplicated(spark, sf_dir):
+    return formula_search.deduplicated(panels.complete(panels.shipment_bars(spark, sf_dir)), _BATCH | {"reversal_6": "-delta(close,6)/close", "activity_12": "volume/mean(volume,12)"})
+
+
+@query()
+def research_evolved(spark, sf_dir):
+    return formula_search.evolved(panels.complete(panels.shipment_bars(spark, sf_dir)), list(_BATCH.values()))
+
+
+_STATES = "CASE o_orderstatus WHEN 'O' THEN 'NOT_TRADED' WHEN 'P' THEN 'PART_TRADED' ELSE 'ALL_TRADED' END"
+
+
+def _working(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = panels.table(spark, sf_dir, "orders")
+    status = F.when(F.col("o_orderstatus") == "O", "NOT_TRADED").when(F.col("o_orderstatus") == "P", "PART_TRADED").otherwise("ALL_TRADED")
+    return o.select("o_orderkey", F.col("o_orderpriority").alias("symbol"), F.col("o_orderdate").alias("ts"), status.alias("status"), F.when(F.col("o_orderkey") % 2 == 0, 1).otherwise(-1).alias("side"), F.col("o_totalprice").alias("volume"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_totalprice") / 4).alias("traded"))
+
+
+@query(f"SELECT o_orderpriority AS symbol, {duck.rounded('sum(CASE WHEN o_orderstatus IN (' + chr(39) + 'O' + chr(39) + ', ' + chr(39) + 'P' + chr(39) + ') THEN CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END * (o_totalprice - CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice / 4 ELSE 0 END) ELSE 0 END)')} AS frozen FROM orders GROUP BY 1")
+def account_frozen_volume(spark, sf_dir):
+    return accounts.frozen_volume(_working(spark, sf_dir))
+
+
+@query("SELECT o_orderkey, (epoch(TIMESTAMP '1998-01-01 00:00:00') - epoch(o_orderdate))::BIGINT AS age FROM orders WHERE o_orderstatus IN ('O', 'P') AND epoch(TIMESTAMP '1998-01-01 00:00:00') - epoch(o_orderdate) >= 86400")
+def account_overdue_orders(spark, sf_dir):
+    return accounts.overdue(_working(spark, sf_dir), "1998-01-01 00:00:00", 86_400).select("o_orderkey", "age")

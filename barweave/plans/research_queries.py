@@ -79,7 +79,7 @@ def research_daily_ic(spark, sf_dir):
     return r.daily_ic(_scored(spark, sf_dir))
 
 
-@query(f"WITH {_IC}, s AS (SELECT count(rank_ic) AS n, avg(rank_ic) AS mean, stddev_samp(rank_ic) AS std, avg((rank_ic > 0)::INT) AS positive FROM ic) SELECT n, {_r('mean', 'std', 'positive')}, {duck.rounded('mean / nullif(std, 0)')} AS ir FROM s")
+@query(f"WITH {_IC}, s AS (SELECT count(rank_ic) AS n, avg(rank_ic) AS mean, stddev_samp(rank_ic) AS std, avg((rank_ic > 1e-12)::INT) AS positive FROM ic) SELECT n, {_r('mean', 'std', 'positive')}, {duck.rounded('mean / nullif(std, 0)')} AS ir FROM s")
 def research_ic_statistics(spark, sf_dir):
     return r.ic_statistics(r.daily_ic(_scored(spark, sf_dir)))
 
@@ -336,6 +336,16 @@ def strategy_third_buy(spark, sf_dir):
     return v.third_buy_signal(panels.shipment_bars(spark, sf_dir))
 
 
+@query()
+def strategy_bollinger_recover(spark, sf_dir):
+    return v.bollinger_recover(panels.shipment_bars(spark, sf_dir))
+
+
+@query()
+def strategy_first_buy(spark, sf_dir):
+    return v.first_buy(panels.shipment_bars(spark, sf_dir))
+
+
 @query(
     """WITH s AS (SELECT o_custkey, avg(o_totalprice) / 150000 AS sharpe, -count(*) / 100.0::DOUBLE AS max_drawdown, count(*) * 3 AS days, max(o_totalprice) / 300000 AS calmar, avg((o_orderstatus = 'F')::INT) AS win_rate FROM orders GROUP BY 1)
     SELECT o_custkey, array_to_string(list_filter([CASE WHEN sharpe < 1 THEN 'sharpe' END, CASE WHEN max_drawdown < -0.15 THEN 'drawdown' END, CASE WHEN days < 30 THEN 'days' END, CASE WHEN calmar < 1 THEN 'calmar' END, CASE WHEN win_rate < 0.45 THEN 'win_rate' END], lambda x: x IS NOT NULL), ',') AS reasons,

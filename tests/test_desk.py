@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from barweave.operators import attribution, desk
+from barweave.operators import accounts, attribution, desk, formula_search, validation
 
 COMMON = dict.fromkeys(desk.MODEL, 0.0) | {"rate": 1e-4, "today": 1.0, "yesterday": 1.0}
 
@@ -99,3 +99,48 @@ def test_weights_of_least_variance():
     np.testing.assert_allclose(attribution.least_variance_weights(np.eye(2), np.array([1.0, 3.0])), [0.75, 0.25])
     assert attribution.least_variance_weights(np.zeros((0, 0))).size == 0
     assert abs(attribution.least_variance_weights(np.full((3, 3), np.nan)).sum() - 1) < 1e-12
+
+
+def bars_of(spark, closes):
+    rows = [(day(i), "s", c, c, c, c, 1.0, 1.0, 1.0) for i, c in enumerate(closes)]
+    return spark.createDataFrame(rows, "date date, symbol string, open double, high double, low double, close double, volume double, amount double, oi double")
+
+
+def test_bollinger_positions(spark):
+    calm = [100.0 + (i % 2) for i in range(30)]
+    closes = [*calm, 90.0, 99.0, 101.5, 99.0]
+    got = [r.position for r in validation.bollinger_recover(bars_of(spark, closes)).orderBy("date").collect()]
+    assert got == [0] * 31 + [1, 1, 0]
+    assert not any(r.position for r in validation.bollinger_recover(bars_of(spark, calm)).collect())
+
+
+def test_first_buy_needs_a_new_low_with_more_momentum(spark):
+    falling = [200.0 - i for i in range(90)]  # ever faster, in shares of the price
+    assert not any(r.position for r in validation.first_buy(bars_of(spark, falling)).collect())
+    slower = [*falling[:80], *[falling[79] * 0.999**i for i in range(1, 20)]]
+    got = [r.position for r in validation.first_buy(bars_of(spark, slower)).orderBy("date").collect()]
+    assert got[79] == 0 and got[85] == 1
+
+
+def test_reports_of_many_formulas(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for s in range(6):
+        close = 100 * np.cumprod(1 + rng.normal(0, 0.01, 40))
+        rows += [(day(i), f"S{s}", float(c), float(c), float(c), float(c), 1.0 + s, 1.0, float(close[i + 1] / c) if i < 39 else None) for i, c in enumerate(close)]
+    panel = spark.createDataFrame(rows, "date date, symbol string, open double, high double, low double, close double, volume double, amount double, oi double")
+    formulas = {"next": "oi", "again": "oi*2+1", "against": "-oi"}
+    got = {r["name"]: r["mean"] for r in formula_search.batch_report(panel, formulas).collect()}
+    assert got["next"] > 0.999 and got["again"] > 0.999 and got["against"] < -0.999
+    heads = {r["name"]: r.head for r in formula_search.deduplicated(panel, formulas).collect()}
+    assert heads["next"] == heads["again"] and heads["against"] == "against"
+    tried = formula_search.evolved(panel, ["volume", "mean(oi,3)"], 2, 2, 3).collect()
+    assert {r.generation for r in tried} == {0, 1, 2} and len({r.formula for r in tried}) == len(tried)
+    assert formula_search.evolved(panel, [], 1).count() == 0
+
+
+def test_working_orders(spark):
+    t = dt.datetime(2024, 1, 1)
+    rows = spark.createDataFrame([("x", t, "NOT_TRADED", 1, 10.0, None), ("x", t, "PART_TRADED", -1, 10.0, 4.0), ("x", t, "CANCELLED", 1, 10.0, 0.0), ("y", t + dt.timedelta(seconds=200), "SUBMITTING", 1, 1.0, 0.0)], "symbol string, ts timestamp, status string, side int, volume double, traded double")
+    assert {r.symbol: r.frozen for r in accounts.frozen_volume(rows).collect()} == {"x": 4.0, "y": 1.0}
+    assert [r.age for r in accounts.overdue(rows, "2024-01-01 00:05:00").collect()] == [300, 300]
