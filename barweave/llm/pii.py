@@ -22,9 +22,14 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9]){13,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: What may be an identifier that no fixed pattern accepts: a run with at least five digits, or with an @.
-RUN = r"A-Za-z0-9_@.+-"
-CANDIDATE = rf"(?<![{RUN}])(?=[{RUN}]*@[{RUN}]|(?:[A-Za-z_@.+-]*+[0-9]){{5}})[{RUN}]++"
+#: What may be an identifier that no fixed pattern accepts, up to its last letter or digit: a run with an @, or at least six digits.
+#: Between digits may stand the marks of cards and phones. WHOLE also goes over single blanks, unless ten digits in a row
+#: stand before one, which are a value by themselves; UNBROKEN is the same number up to its first blank.
+RUN = r"A-Za-z0-9_.%+-"
+MAIL = rf"(?<![{RUN}@])[{RUN}]++@[_.-]*+[A-Za-z0-9]++(?:[_.-]++[A-Za-z0-9]++)*+(?![{RUN}]*+@)"
+BLANK = r"(?<![0-9]{10})[)-]?\x20[(-]?(?=[0-9]++(?!\.?[A-Za-z_@]))"
+NUMBER = r"(?<![A-Za-z0-9_@+])(?<![A-Za-z0-9_@][.-])(?=(?:[\x20().+-]{{0,3}}+[0-9]){{6}})\+?(?:\((?=[0-9]{{1,5}}\)))?[0-9](?:(?:{blank}[().-]{{1,3}}+(?=[0-9]))?[0-9])*+(?!\.?[A-Za-z_@])"
+WHOLE, UNBROKEN = f"{MAIL}|{NUMBER.format(blank=BLANK + '|')}", NUMBER.format(blank="")
 #: Seeds that a pattern needs, the score that a pattern and a value need, rounds, and patterns that are broadcast at most.
 SEEDS, CONFIDENCE, ROUNDS, BROADCAST = 5, 0.5, 3, 50_000
 
@@ -68,19 +73,30 @@ def _shape(found: Column) -> Column:
     return (
         F.when(found.rlike(r"^[^@]+@[^@]+$"), "email")
         .when(found.rlike(r"^[0-9]+(?:\.[0-9]+){3,}$"), "ip")
-        .when(found.rlike(r"^\+?[0-9][0-9().-]*[0-9]$"), F.when(_n_digits(found).between(7, 13), "phone").when(_n_digits(found) >= 14, "card"))
+        .when(found.rlike(r"^\+?\(?[0-9][0-9\x20().-]*[0-9]$"), F.when(_n_digits(found).between(7, 13), "phone").when(_n_digits(found) >= 14, "card"))
     )
 
 
+def _value(kind: Column, found: Column) -> Column:
+    """What makes spans of a kind the same value: of cards and phones the digits."""
+    return F.when(kind.isin("card", "phone"), F.regexp_replace(found, "[^0-9]", "")).otherwise(F.lower(found))
+
+
 def _scan(docs: DataFrame) -> DataFrame:
     """``row, doc_id, text_key, base, others``: a number of each row, its fixed spans and its candidates."""
     text = whole_text()
-    rows = docs.select("doc_id", F.xxhash64(text).alias("text_key"), base_spans(text).alias("base"), matches(text, CANDIDATE, text.rlike("[0-9]{2}|@")).alias("others"))
+    rows = docs.select("doc_id", F.xxhash64(text).alias("text_key"), base_spans(text).alias("base"), matches(text, WHOLE, text.rlike("[0-9]|@")).alias("whole"), matches(text, UNBROKEN, text.rlike("[0-9]")).alias("unbroken"))
 
     def free(c: Column) -> Column:
         return _shape(c["found"]).isNotNull() & ~F.exists(F.col("base"), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
 
-    return rows.withColumn("others", F.filter("others", free)).withColumn("row", F.monotonically_increasing_id())
+    def marked(spans: Column, n: int) -> Column:
+        return F.transform(F.filter(spans, free), lambda c: c.withField("n", F.lit(n)))
+
+    # What is found both ways counts once, and of two readings of one place only the longer counts for a pattern.
+    less = F.filter("unbroken", lambda c: ~F.exists(F.col("whole"), lambda w: (w["start"] == c["start"]) & (w["end"] == c["end"])))
+    others = F.concat(marked(F.col("whole"), 1), marked(less, 0))
+    return rows.select("doc_id", "text_key", "base", others.alias("others")).withColumn("row", F.monotonically_increasing_id())
 
 
 def _occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -94,10 +110,10 @@ def _occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
 
 def learn(docs: DataFrame, scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Patterns (``kind, context, confidence, seeds``) and discovered values (``kind, value, score``)."""
-    seed = scanned.select(F.explode("base").alias("s")).select("s.kind", "s.found", "s.before", F.lit(1).alias("seed"))
-    other = scanned.select(F.explode("others").alias("s")).select(_shape(F.col("s.found")).alias("kind"), "s.found", "s.before", F.lit(0).alias("seed"))
-    edges = seed.unionByName(other).select("kind", F.lower("found").alias("value"), "seed", F.explode(_contexts(F.col("before"))).alias("context"))
-    edges = written(edges.groupBy("kind", "context", "value").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("n")), "edges")
+    seed = scanned.select(F.explode("base").alias("s")).select("s.kind", "s.found", "s.before", F.lit(1).alias("seed"), F.lit(1).alias("n"))
+    other = scanned.select(F.explode("others").alias("s")).select(_shape(F.col("s.found")).alias("kind"), "s.found", "s.before", F.lit(0).alias("seed"), "s.n")
+    edges = seed.unionByName(other).select("kind", _value(F.col("kind"), F.col("found")).alias("value"), "seed", "n", F.explode(_contexts(F.col("before"))).alias("context"))
+    edges = written(edges.groupBy("kind", "context", "value").agg(F.max("seed").alias("seed"), F.sum("n").alias("n")), "edges")
     patterns = edges.groupBy("kind", "context").agg(F.sum("seed").alias("seeds")).where(F.col("seeds") >= SEEDS)
     patterns = written(patterns, "patterns")
     totals = _occurrences(docs, patterns)
@@ -130,10 +146,12 @@ def find(docs: DataFrame) -> DataFrame:
     n_new = new.count()
     if not n_new:
         return rows.select("doc_id", "text_key", "base", F.col("base").alias("spans"))
-    candidates = scanned.select("row", F.explode("others").alias("s")).select("row", "s.*", _shape(F.col("s.found")).alias("kind"), F.lower("s.found").alias("value"))
+    candidates = scanned.select("row", F.explode("others").alias("s")).select("row", "s.*", _shape(F.col("s.found")).alias("kind")).withColumn("value", _value(F.col("kind"), F.col("found")))
     hit = candidates.join(new.hint("broadcast" if n_new <= BROADCAST else "shuffle_merge"), ["kind", "value"])
     number = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
     more = hit.groupBy("row").agg(F.collect_list(F.struct("start", number.alias("kind_no"), "kind", "end", "found")).alias("more"))
+    inside = lambda s, o: (o["start"] <= s["start"]) & (s["end"] <= o["end"]) & (o["end"] - o["start"] > s["end"] - s["start"])
+    more = more.withColumn("more", F.filter("more", lambda s: ~F.exists(F.col("more"), lambda o: inside(s, o))))
     both = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(more.schema["more"].dataType))))
     return rows.join(more, "row", "left").select("doc_id", "text_key", "base", both.alias("spans"))
 
