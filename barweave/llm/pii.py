@@ -1,20 +1,24 @@
 """Personal data by fixed patterns, and by contexts learned from what those find; built-in functions only.
 
-Bootstrapping: the spans of the fixed patterns are the seeds. The two words before a seed (and the last
-one alone) are lexical patterns for its kind. The graph of patterns and the values that stand after them
-is scored in rounds: a pattern's confidence is the summed score of its values, divided by how often its
-words occur in the whole corpus at all, so common words get none; a value's score is the chance that at
-least one of its patterns is right (seeds: 1). Values of the same shape that no fixed pattern accepts
-become spans of their own wherever they occur, once their score is high.
+Bootstrapping: the spans of the fixed patterns are the seeds, and what is shaped like an identifier but
+accepted by no fixed pattern is a candidate. The words around both are lexical patterns: up to three words
+before, up to three after, one on either side, and the second word before whatever stands between. Patterns
+and the values that stand in them are a graph, which is scored in rounds: a pattern's confidence in a kind
+is the share of good values among all values that stand in it (of any kind, candidates included), and a
+value is good if it is a seed or if the patterns of its places say so. A pattern counts from ``SEEDS``
+values on, needs the lower bound of its confidence above ``CONFIDENCE``, and must hold in both halves
+that values are dealt into, so what one half suggests the other has to bear out. A candidate listens to the
+longest pattern around it that enough values stand in, so "order number" is heard before "number". Rounds end
+when no value is new; good values only grow in number, so they do end.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import whole_text, written
-from .spans import count_kind, listed, masked, matches, of_kind
+from .common import drop_written, whole_text, written
+from .spans import clear_of, count_kind, listed, masked, matches, of_kind
 
 KINDS = ("email", "ip", "card", "phone")
 #: Runs are entered only at their start (or where the last match ended) and never given back, so that no text takes quadratic time.
@@ -30,8 +34,12 @@ MAIL = rf"(?<![{RUN}@])[{RUN}]++@[_.-]*+[A-Za-z0-9]++(?:[_.-]++[A-Za-z0-9]++)*+(
 BLANK = r"(?<![0-9]{10})[)-]?\x20[(-]?(?=[0-9]++(?!\.?[A-Za-z_@]))"
 NUMBER = r"(?<![A-Za-z0-9_@+])(?<![A-Za-z0-9_@][.-])(?=(?:[\x20().+-]{{0,3}}+[0-9]){{6}})\+?(?:\((?=[0-9]{{1,5}}\)))?[0-9](?:(?:{blank}[().-]{{1,3}}+(?=[0-9]))?[0-9])*+(?!\.?[A-Za-z_@])"
 WHOLE, UNBROKEN = f"{MAIL}|{NUMBER.format(blank=BLANK + '|')}", NUMBER.format(blank="")
-#: Seeds that a pattern needs, the score that a pattern and a value need, rounds, and patterns that are broadcast at most.
-SEEDS, CONFIDENCE, ROUNDS, BROADCAST = 5, 0.5, 3, 50_000
+#: Values that a pattern needs; the confidence that patterns and values need, and how far (in standard errors) patterns must be above it.
+SEEDS, CONFIDENCE, ERRORS = 5, 0.5, 0.84
+#: Rows of learned values that are broadcast at most.
+BROADCAST = 50_000
+#: Between a word and its neighbour or a value stand so many marks or blanks at most.
+MARKS = 4
 
 
 def luhn(found: Column) -> Column:
@@ -48,24 +56,47 @@ def _n_digits(found: Column) -> Column:
     return F.length(F.regexp_replace(found, "[^0-9]", ""))
 
 
-def base_spans(text: Column) -> Column:
+def base_spans(text: Column, around: bool = False) -> Column:
     """Sorted spans of the fixed patterns."""
     byte = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
     found = (
-        of_kind(matches(text, EMAIL, text.contains("@")), "email", 0),
-        of_kind(matches(text, IP, text.rlike(IP)), "ip", 1, lambda f: f.rlike(rf"^{byte}(?:\.{byte}){{3}}$")),
-        of_kind(matches(text, CARD, text.rlike(CARD)), "card", 2, lambda f: _n_digits(f).between(14, 19) & luhn(f)),
-        of_kind(matches(text, PHONE, text.contains("+")), "phone", 3, lambda f: _n_digits(f).between(10, 15)),
+        of_kind(matches(text, EMAIL, text.contains("@"), around), "email", 0, None, around),
+        of_kind(matches(text, IP, text.rlike(IP), around), "ip", 1, lambda f: f.rlike(rf"^{byte}(?:\.{byte}){{3}}$"), around),
+        of_kind(matches(text, CARD, text.rlike(CARD), around), "card", 2, lambda f: _n_digits(f).between(14, 19) & luhn(f), around),
+        of_kind(matches(text, PHONE, text.contains("+"), around), "phone", 3, lambda f: _n_digits(f).between(10, 15), around),
     )
     return F.array_sort(F.concat(*found))
 
 
-def _contexts(before: Column) -> Column:
-    """The last word before a value, and the last two; a word has letters, and marks may stand around it."""
-    tail = F.lower(before)
-    one = F.regexp_extract(tail, r"(\p{L}{1,24})[^\p{L}\p{N}]{0,4}$", 1)
-    two = F.regexp_extract(tail, r"(\p{L}{1,24}[^\p{L}\p{N}]{1,3}\p{L}{1,24})[^\p{L}\p{N}]{0,4}$", 1)
-    return F.filter(F.array(one, F.regexp_replace(two, r"[^\p{L}]+", " ")), lambda c: c != "")
+def _contexts(before: Column, after: Column) -> Column:
+    """``array<struct<rank, context>>``: the patterns around a value, the longest first.
+
+    Words are runs of letters, lower-cased; ``_`` stands for the value and ``*`` for any one word.
+    """
+    gap = rf"[^\p{{L}}\p{{N}}]{{1,{MARKS}}}"
+    end = rf"[^\p{{L}}\p{{N}}]{{0,{MARKS}}}"
+    left = rf"(?<![\p{{L}}\p{{N}}])(?:(?:(\p{{L}}+){gap})?(\p{{L}}+){gap})?(\p{{L}}+){end}$"
+    right = rf"^{end}(\p{{L}}++)(?![\p{{L}}\p{{N}}])(?:{gap}(\p{{L}}++)(?![\p{{L}}\p{{N}}])(?:{gap}(\p{{L}}++)(?![\p{{L}}\p{{N}}]))?)?"
+    w3, w2, w1 = (F.lower(F.regexp_extract(before, left, i)) for i in (1, 2, 3))
+    a1, a2, a3 = (F.lower(F.regexp_extract(after, right, i)) for i in (1, 2, 3))
+    value, any_word = F.lit("_"), F.lit("*")
+    sides = (
+        ((w3, w2, w1), (w3, w2, w1, value)),
+        ((a1, a2, a3), (value, a1, a2, a3)),
+        ((w1, a1), (w1, value, a1)),
+        ((w2, w1), (w2, w1, value)),
+        ((a1, a2), (value, a1, a2)),
+        ((w2, w1), (w2, any_word, value)),
+        ((w1,), (w1, value)),
+        ((a1,), (value, a1)),
+    )
+    made = []
+    for rank, (needed, words) in enumerate(sides):
+        there = F.lit(True)
+        for word in needed:
+            there = there & (word != "")
+        made.append(F.when(there, F.struct(F.lit(rank).alias("rank"), F.concat_ws(" ", *words).alias("context"))))
+    return F.filter(F.array(*made), lambda c: c.isNotNull())
 
 
 def _shape(found: Column) -> Column:
@@ -85,63 +116,84 @@ def _value(kind: Column, found: Column) -> Column:
 def _scan(docs: DataFrame) -> DataFrame:
     """``row, doc_id, text_key, base, others``: a number of each row, its fixed spans and its candidates."""
     text = whole_text()
-    rows = docs.select("doc_id", F.xxhash64(text).alias("text_key"), base_spans(text).alias("base"), matches(text, WHOLE, text.rlike("[0-9]|@")).alias("whole"), matches(text, UNBROKEN, text.rlike("[0-9]")).alias("unbroken"))
-
-    def free(c: Column) -> Column:
-        return _shape(c["found"]).isNotNull() & ~F.exists(F.col("base"), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+    found = [matches(text, p, text.rlike(likely), True) for p, likely in ((WHOLE, "[0-9]|@"), (UNBROKEN, "[0-9]"))]
+    rows = docs.select("doc_id", F.xxhash64(text).alias("text_key"), base_spans(text, True).alias("base"), found[0].alias("whole"), found[1].alias("unbroken"))
 
     def marked(spans: Column, n: int) -> Column:
-        return F.transform(F.filter(spans, free), lambda c: c.withField("n", F.lit(n)))
+        shaped = F.filter(spans, lambda c: _shape(c["found"]).isNotNull())
+        return F.transform(clear_of(shaped, F.col("base")), lambda c: c.withField("n", F.lit(n)))
 
     # What is found both ways counts once, and of two readings of one place only the longer counts for a pattern.
-    less = F.filter("unbroken", lambda c: ~F.exists(F.col("whole"), lambda w: (w["start"] == c["start"]) & (w["end"] == c["end"])))
+    less = clear_of(F.col("unbroken"), F.col("whole"), same=True)
     others = F.concat(marked(F.col("whole"), 1), marked(less, 0))
     return rows.select("doc_id", "text_key", "base", others.alias("others")).withColumn("row", F.monotonically_increasing_id())
 
 
-def _occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """``context, total``: how often the words of each pattern occur in all texts."""
-    words = F.filter(F.split(F.lower(whole_text()), r"[^\p{L}]+"), lambda w: w != "")
-    counted = docs.select(words.alias("w"))
-    pairs = F.zip_with(F.col("w"), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    both = counted.select(F.explode(F.concat(F.col("w"), F.filter(pairs, lambda p: p.isNotNull()))).alias("context"))
-    return both.join(patterns.select("context").distinct().hint("broadcast" if patterns.count() <= BROADCAST else "shuffle_merge"), "context").groupBy("context").agg(F.count(F.lit(1)).alias("total"))
-
-
-def learn(docs: DataFrame, scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Patterns (``kind, context, confidence, seeds``) and discovered values (``kind, value, score``)."""
-    seed = scanned.select(F.explode("base").alias("s")).select("s.kind", "s.found", "s.before", F.lit(1).alias("seed"), F.lit(1).alias("n"))
-    other = scanned.select(F.explode("others").alias("s")).select(_shape(F.col("s.found")).alias("kind"), "s.found", "s.before", F.lit(0).alias("seed"), "s.n")
-    edges = seed.unionByName(other).select("kind", _value(F.col("kind"), F.col("found")).alias("value"), "seed", "n", F.explode(_contexts(F.col("before"))).alias("context"))
-    edges = written(edges.groupBy("kind", "context", "value").agg(F.max("seed").alias("seed"), F.sum("n").alias("n")), "edges")
-    patterns = edges.groupBy("kind", "context").agg(F.sum("seed").alias("seeds")).where(F.col("seeds") >= SEEDS)
-    patterns = written(patterns, "patterns")
-    totals = _occurrences(docs, patterns)
-    patterns = written(patterns.join(totals, "context"), "patterns")
-    edges = written(edges.join(patterns.select("kind", "context", "total"), ["kind", "context"]), "edges")
-    scores = edges.groupBy("kind", "value").agg(F.max("seed").cast("double").alias("score"))
-    for _ in range(ROUNDS):
-        weights = edges.join(scores, ["kind", "value"]).groupBy("kind", "context").agg(F.least(F.lit(1.0), F.sum(F.col("score") * F.col("n")) / F.max("total")).alias("confidence"))
-        kept = written(weights.where(F.col("confidence") >= CONFIDENCE), "weights")
-        doubt = F.exp(F.sum(F.log(F.lit(1.000001) - F.col("confidence"))))
-        chance = F.when(F.max("seed") == 1, 1.0).otherwise(F.coalesce(1 - doubt, F.lit(0.0)))
-        scores = written(edges.join(kept, ["kind", "context"], "left").groupBy("kind", "value").agg(chance.alias("score")), "scores")
-    new = edges.where("seed = 0").select("kind", "value").distinct().join(scores.where(F.col("score") >= CONFIDENCE), ["kind", "value"])
-    return kept.join(patterns, ["kind", "context"]).select("kind", "context", "confidence", "seeds"), new
+def _lower_bound(good: Column, n: Column) -> Column:
+    """Wilson's lower bound of a share of which ``good`` in ``n`` were seen."""
+    p, z2 = good / n, ERRORS * ERRORS
+    return (p + z2 / (2 * n) - ERRORS * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)
+
+
+def learn(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Patterns (``context, kind, confidence, good``) and discovered values (``kind, value, score``).
+
+    ``scanned`` is what :func:`_scan` gives. Copies of a place (same value, same words around it) count as
+    one row, so a text that is repeated often is no hot key.
+    """
+    made = []
+    seed = scanned.select(F.explode("base").alias("s")).select("s.kind", "s.found", "s.before", "s.after", F.lit(1).alias("seed"), F.lit(1).alias("n"))
+    other = scanned.select(F.explode("others").alias("s")).select(_shape(F.col("s.found")).alias("kind"), "s.found", "s.before", "s.after", F.lit(0).alias("seed"), "s.n")
+    places = seed.unionByName(other).select("kind", _value(F.col("kind"), F.col("found")).alias("value"), "seed", "n", _contexts(F.col("before"), F.col("after")).alias("contexts"))
+    places = places.groupBy("kind", "value", "seed", "contexts").agg(F.sum("n").alias("n")).withColumn("place", F.monotonically_increasing_id())
+    made.append(places := written(places, "places"))
+    half = F.pmod(F.xxhash64("kind", "value"), F.lit(2))
+    known = places.where("n > 0").select("kind", "value", F.explode("contexts.context").alias("context")).distinct()
+    made.append(known := written(known, "known"))
+    totals = known.groupBy("context").agg(F.count(F.lit(1)).alias("values"), F.sum(half).alias("values_1")).where(F.col("values") >= SEEDS)
+    made.append(totals := written(totals, "totals"))
+    # The place of a candidate listens to the first of its patterns that has enough values.
+    around = places.where("seed = 0").select("place", "kind", "value", "n", F.explode("contexts").alias("c")).select("place", "kind", "value", "n", "c.*")
+    heard = around.join(totals.select("context"), "context").groupBy("place", "kind", "value", "n").agg(F.min_by("context", "rank").alias("context"))
+    made.append(heard := written(heard, "heard"))
+    made.append(seeds := written(places.where("seed = 1").select("kind", "value").distinct(), "seeds"))
+    good, n_good = seeds, seeds.count()
+    while True:
+        hits = known.join(good, ["kind", "value"]).groupBy("context", "kind").agg(F.count(F.lit(1)).alias("good"), F.sum(half).alias("good_1"))
+        hits = hits.where(F.col("good") >= SEEDS).join(totals, "context")
+        first, second = (F.col("good") - F.col("good_1"), F.col("values") - F.col("values_1")), (F.col("good_1"), F.col("values_1"))
+        borne_out = [(g > 0) & (g >= CONFIDENCE * v) for g, v in (first, second)]
+        kept = hits.where((_lower_bound(F.col("good"), F.col("values")) >= CONFIDENCE) & borne_out[0] & borne_out[1])
+        made.append(kept := written(kept.select("context", "kind", (F.col("good") / F.col("values")).alias("confidence"), "good"), "patterns"))
+        weight = F.greatest("n", F.lit(1))
+        score = F.sum(weight * F.coalesce("confidence", F.lit(0.0))) / F.sum(weight)
+        new = heard.join(kept, ["context", "kind"], "left").groupBy("kind", "value").agg(score.alias("score")).where(F.col("score") >= CONFIDENCE)
+        made.append(new := written(new, "discovered"))
+        made.append(good := written(seeds.unionByName(new.select("kind", "value")).distinct(), "good"))
+        n_before, n_good = n_good, good.count()
+        if n_good == n_before:
+            break
+    # A candidate that is a seed elsewhere, with other marks, is as good as that.
+    again = places.where("seed = 0").select("kind", "value").distinct().join(seeds, ["kind", "value"]).withColumn("score", F.lit(1.0))
+    found = written(new.unionByName(again).groupBy("kind", "value").agg(F.max("score").alias("score")), "discovered")
+    for df in made:
+        if df is not kept:
+            drop_written(scanned.sparkSession, df)
+    return kept, found
 
 
 def find(docs: DataFrame) -> DataFrame:
     """``doc_id, text_key, base, spans`` for every row of ``docs``.
 
     ``base`` and ``spans`` are sorted arrays of ``start, kind_no, kind, end, found``: the fixed patterns'
-    spans, and those together with the discovered ones (which overlap none of them). Null and empty texts
-    have none; repeated rows have the same ones each; other columns are not looked at; an empty table
-    gives an empty result. Without seeds nothing is learned.
+    spans, and those together with the discovered ones. Discovered spans overlap no base span; of two that
+    overlap each other one may lie within the other, and then only the longer stays. Null and empty texts
+    have none; very long ones are searched whole; repeated rows have the same ones each; other columns are
+    not looked at; an empty table gives an empty result. Without seeds nothing is learned.
     """
     scanned = written(_scan(docs), "scanned")
-    _, new = learn(docs, scanned)
-    new = written(new, "discovered")
-    slim = F.transform("base", lambda s: s.dropFields("before"))
+    _, new = learn(scanned)
+    slim = F.transform("base", lambda s: s.dropFields("before", "after"))
     rows = scanned.select("row", "doc_id", "text_key", slim.alias("base"))
     n_new = new.count()
     if not n_new:
@@ -149,9 +201,9 @@ def find(docs: DataFrame) -> DataFrame:
     candidates = scanned.select("row", F.explode("others").alias("s")).select("row", "s.*", _shape(F.col("s.found")).alias("kind")).withColumn("value", _value(F.col("kind"), F.col("found")))
     hit = candidates.join(new.hint("broadcast" if n_new <= BROADCAST else "shuffle_merge"), ["kind", "value"])
     number = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
-    more = hit.groupBy("row").agg(F.collect_list(F.struct("start", number.alias("kind_no"), "kind", "end", "found")).alias("more"))
-    inside = lambda s, o: (o["start"] <= s["start"]) & (s["end"] <= o["end"]) & (o["end"] - o["start"] > s["end"] - s["start"])
-    more = more.withColumn("more", F.filter("more", lambda s: ~F.exists(F.col("more"), lambda o: inside(s, o))))
+    earlier = Window.partitionBy("row").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    outer = hit.withColumn("reach", F.max("end").over(earlier)).where("reach is null or end > reach")
+    more = outer.groupBy("row").agg(F.collect_list(F.struct("start", number.alias("kind_no"), "kind", "end", "found")).alias("more"))
     both = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(more.schema["more"].dataType))))
     return rows.join(more, "row", "left").select("doc_id", "text_key", "base", both.alias("spans"))
 
@@ -163,14 +215,21 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span of its text replaced by its kind in angle brackets, and n_chars to match."""
+    """``docs`` with every span of its text replaced by its kind in angle brackets, and n_chars to match.
+
+    Null and empty texts stay as they are, and very long ones are masked whole. Repeated rows are all kept.
+    Other columns stay as they are, whatever their names; an empty table stays empty.
+    """
     found = find(docs).where("size(spans) > 0").select("doc_id", "text_key", "spans").dropDuplicates(["doc_id", "text_key"])
-    keyed = docs.withColumn("text_key", F.xxhash64(whole_text()))
-    here = keyed.alias("d").join(found.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.text_key") == F.col("f.text_key")), "left")
-    text = F.when(F.col("f.spans").isNull(), F.col("d.text")).otherwise(masked(F.col("d.text"), F.col("f.spans"), lambda k: F.concat(F.lit("<"), F.upper(k), F.lit(">"))))
-    columns = [F.col(f"d.`{c}`") for c in docs.columns]
-    columns[docs.columns.index("text")] = text.alias("text")
-    out = here.select(columns)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"), F.col("doc_id").alias("id"), F.xxhash64(whole_text()).alias("key"))
+    here = keyed.join(found, keyed["id"].eqNullSafe(found["doc_id"]) & (keyed["key"] == found["text_key"]), "left")
+    old = F.col("d")["text"]
+    text = F.when(F.col("spans").isNull(), old).otherwise(masked(old, F.col("spans"), lambda k: F.concat(F.lit("<"), F.upper(k), F.lit(">"))))
+    out = here.select(text.alias("new"), "d")
+    columns = []
+    for c in docs.columns:
+        was = F.col("d")[c]
+        if c == "n_chars":
+            was = F.when(F.col("new").isNull(), was).otherwise(F.length("new")).cast(docs.schema[c].dataType)
+        columns.append((F.col("new") if c == "text" else was).alias(c))
+    return out.select(columns)

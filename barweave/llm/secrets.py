@@ -71,7 +71,7 @@ def scan(versions: DataFrame, due: DataFrame, rules: tuple[Rule, ...] = RULES, i
     spans = [F.when(a, of_kind(matches(text, r.pattern, r.likely(text)), r.name, i, r.valid)) for i, (r, a) in enumerate(zip(rules, asked, strict=True))]
     found = one.select("blob", F.array(*(F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version"), s.alias("spans")) for r, s in zip(rules, spans, strict=True))).alias("each"))
     # A path that repeats with the same content is scanned as often as it repeats; one row stays.
-    each = found.select("blob", F.inline(F.filter("each", lambda e: e["spans"].isNotNull()))).withColumn("spans", F.transform("spans", lambda s: s.dropFields("before", "found")))
+    each = found.select("blob", F.inline(F.filter("each", lambda e: e["spans"].isNotNull()))).withColumn("spans", F.transform("spans", lambda s: s.dropFields("found")))
     return each.dropDuplicates(["blob", "rule", "version"])
 
 
