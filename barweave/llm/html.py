@@ -1,10 +1,14 @@
 """Main text of web pages by rules on blocks, in two passes.
 
 A page is cut into blocks at block-level tags. The first pass looks at each block alone: its length, its
-share of stop words, and its share of link text make it good, bad, or undecided. The second pass gives
-undecided short blocks the label of their nearest decided neighbours. Before both, blocks in places that
-never hold the article (menus, footers, sidebars, notices, adverts, forms, comments) are out, and where
-a page marks its article, only that is looked at.
+share of stop words, and its share of link text make it good, bad, or (headings and shorter ones only)
+undecided. The second pass gives undecided blocks the label of their nearest decided neighbours. Before
+both, blocks in places that never hold the article (menus, footers, sidebars, notices, adverts, forms,
+comments) are out, and where a page marks its article, only that is looked at.
+
+Some of those places have elements or roles of their own; others only names in a class or id. A name counts
+by the whole token it stands in ("has-sidebar" is a state, no sidebar), and an element that it would put
+out stays if it holds a title or an article and more than half of the page's good text.
 """
 
 from __future__ import annotations
@@ -21,14 +25,25 @@ from .common import per_text, whole_text
 # HTML's element names by what they do to a block.
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style noscript template textarea select option button svg math iframe object audio video canvas head title noframes datalist".split())
+#: Their content is never markup: without an end tag they last to the end of the page.
+RAW_TAGS = frozenset("script style title textarea noframes xmp".split())
+#: Shown otherwise than as text, or not at all: left out as far as their end tag, if they have one.
+SKIPPED_TAGS = frozenset("noscript template select button svg iframe object audio video canvas datalist annotation annotation-xml".split())
 OUT_TAGS = frozenset("nav footer aside form dialog menu search".split())
+OUT_ROLES = frozenset("navigation complementary contentinfo search form dialog alertdialog alert menu menubar toolbar".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Names in class, id or role of what is not the article.
+#: Names in class or id of what is not the article; those of readers' comments.
 OUT_NAMES = frozenset(
     "nav navbar navigation menu menubar footer sidebar aside complementary contentinfo breadcrumb breadcrumbs ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion promoted banner cookie cookies consent gdpr notice notices notification alert popup modal overlay "
-    "newsletter subscribe subscription signup comment comments commentlist disqus discussion respond replies reply share sharing social related recommended recommendations teaser widget widgets pagination pager toolbar login search searchbox form skip copyright legal disclaimer outbrain taboola tags".split()
+    "newsletter subscribe subscription signup share sharing social related recommended recommendations teaser widget widgets pagination pager toolbar login search searchbox form skip copyright legal disclaimer outbrain taboola tags".split()
 )
+COMMENT_NAMES = frozenset("comment comments commentlist disqus discussion respond replies reply".split())
+#: An article or main element is put out only by one of these as a whole token.
+ARTICLE_OUT = frozenset("ad ads advert advertisement comment reply teaser related widget".split())
+#: A token says something about a state, a topic or a layout, not what it stands on, if one of these comes first, or last, or anywhere.
+STATE_FIRST = frozenset("has with without no not is show hide js tag category cat type format status topic".split())
+STATE_LAST = frozenset("open closed enabled disabled active inactive allowed on off visible".split())
+STATE_ANY = frozenset("layout template".split())
 #: Frequent function words, which running text of a language has many of.
 STOP_WORDS = {
     "en": "a about after all also an and any are as at be been but by can could for from had has have he her his how i if in into is it its more no not of on one or other our out she so some that the their them then there these they this to up was we were what when which who will with would you your",
@@ -43,8 +58,9 @@ SHORT, LONG, STOPS_LOW, STOPS_HIGH, LINKS = 60, 180, 0.12, 0.25, 0.4
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([^\s=\"'/>]+)")
+_SENTENCE = re.compile(r"[.!?…。！？।](?:\s|$|[\"'»”’)])|[。！？]")
 _NAME = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
-_CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+_CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 _LIMITS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
 
 
@@ -54,6 +70,7 @@ class Block:
     links: int
     main: bool
     heading: bool
+    named: tuple[int, ...] = ()  # the elements around it that a name puts out
     label: int = 0  # 1 good, -1 bad, 0 undecided
 
 
@@ -63,44 +80,103 @@ class _Open:
     out: bool
     main: bool
     heads_only: bool
+    named: tuple[int, ...]
+
+
+class _Stack:
+    """The open elements; where the last one of a name is, is known at once."""
+
+    def __init__(self) -> None:
+        self.open = [_Open("", False, False, False, ())]
+        self.at: dict[str, list[int]] = {}
+        self.blocks = [0]
+
+    def last(self, tags: tuple[str, ...]) -> int:
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def push(self, element: _Open) -> None:
+        self.at.setdefault(element.tag, []).append(len(self.open))
+        if _is_block(element.tag):
+            self.blocks.append(len(self.open))
+        self.open.append(element)
+
+    def cut(self, size: int) -> None:
+        while len(self.open) > size:
+            tag = self.open.pop().tag
+            self.at[tag].pop()
+            if _is_block(tag):
+                self.blocks.pop()
+
+
+def _is_block(tag: str) -> bool:
+    return tag in BLOCK_TAGS or "-" in tag
 
 
 def _attributes(raw: str) -> dict[str, str]:
     return {(m[1] or m[5]).lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)}
 
 
-def _names(value: str) -> set[str]:
-    return {part.lower() for part in _NAME.findall(value)}
+def _words(token: str) -> list[str]:
+    """The words of a class or id, without those of tokens that only say in which state something is."""
+    words = [part.lower() for part in _NAME.findall(token)]
+    if len(words) > 1 and (words[0] in STATE_FIRST or words[-1] in STATE_LAST or STATE_ANY.intersection(words)):
+        return []
+    return words
+
+
+class _Page:
+    """What names put out on one page: the kind of name, and whether a title or article stands inside."""
+
+    def __init__(self) -> None:
+        self.comments: list[bool] = []
+        self.holds: list[bool] = []
+
+    def enter(self, tag: str, raw: str, top: _Open) -> _Open:
+        """What opening this element makes of the place: out, in the article, or a header that lends its headings only."""
+        attributes = _attributes(raw) if raw.strip() else {}
+        role = attributes.get("role", "").lower()
+        tokens = f"{attributes.get('class', '')} {attributes.get('id', '')}".split()
+        words = [_words(t) for t in tokens]
+        hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
+        whole = tag in ("html", "body")
+        main = tag in ("article", "main") or role in ("main", "article") or attributes.get("itemprop") == "articleBody"
+        out = tag in OUT_TAGS or role in OUT_ROLES or hidden
+        named = top.named
+        if not out and not whole and tag not in HEADINGS and tag != "main":
+            if tag == "article":
+                hits = ARTICLE_OUT.intersection(t.lower() for t in tokens)
+            else:
+                hits = {w for ws in words for w in ws if w in OUT_NAMES or w in COMMENT_NAMES}
+            if hits:
+                named = (*named, len(self.holds))
+                self.comments.append(bool(hits & COMMENT_NAMES))
+                self.holds.append(False)
+        if main or tag == "h1":
+            for i in named:
+                self.holds[i] = True
+        heads = not whole and not main and (tag == "header" or role == "banner" or any(ws and ws[-1] in ("header", "masthead") for ws in words))
+        return _Open(tag, top.out or out, (top.main or main) and not out, top.heads_only or heads, named)
 
 
-def _enter(tag: str, raw: str, top: _Open) -> _Open:
-    """What opening this element makes of the place: out, in the article, or a header that lends its headings only."""
-    attributes = _attributes(raw) if raw.strip() else {}
-    role = attributes.get("role", "").lower()
-    names = _names(f"{attributes.get('class', '')} {attributes.get('id', '')} {role}")
-    hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
-    whole = tag in ("html", "body")
-    main = tag in ("article", "main") or role in ("main", "article") or attributes.get("itemprop") == "articleBody"
-    named_out = bool(names & OUT_NAMES) and not whole and tag not in HEADINGS
-    out = tag in OUT_TAGS or hidden or (named_out and not (main and tag == "main"))
-    heads = not whole and (tag == "header" or "header" in names or "masthead" in names) and not main
-    return _Open(tag, top.out or out, (top.main or main) and not out, top.heads_only or heads)
+def blocks(html: str) -> list[Block]:
+    """The blocks of a page that are not out of the question, in page order, with the labels of the first pass."""
+    found, page = _blocks(html)
+    return _without_named(found, page)
 
 
-def blocks(html: str) -> list[Block]:
-    """The blocks of a page that are not out of the question, in page order."""
+def _blocks(html: str) -> tuple[list[Block], _Page]:
     found: list[Block] = []
-    stack = [_Open("", False, False, False)]
+    page, stack = _Page(), _Stack()
     parts: list[str] = []
     links = heading = in_link = 0
-    skip = ""
+    unended: set[str] = set()
 
     def flush() -> None:
         nonlocal links
         text = " ".join("".join(parts).split())
-        top = stack[-1]
+        top = stack.open[-1]
         if text and not top.out and (not top.heads_only or (heading and top.main)):
-            found.append(Block(text, min(links, len(text)), top.main, bool(heading)))
+            found.append(Block(text, min(links, len(text)), top.main, bool(heading), top.named))
         parts.clear()
         links = 0
 
@@ -112,16 +188,19 @@ def blocks(html: str) -> list[Block]:
             if in_link:
                 links += len(" ".join(text.split()))
 
+    def beyond(tag: str, at: int) -> int:
+        """Where the content of this element ends; ``at`` if it has no end tag and is not raw."""
+        if tag not in unended:
+            end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
+            if end:
+                return end.start()
+            unended.add(tag)
+        return len(html) if tag in RAW_TAGS else at
+
     at = 0
-    low = ""
+    last_end = html.rfind(">")
     while at < len(html):
-        if skip:  # nothing inside these is text or markup
-            low = low or html.lower()
-            end = low.find(f"</{skip}", at)
-            at = len(html) if end < 0 else end
-            skip = ""
-            continue
-        m = _TOKEN.search(html, at)
+        m = _TOKEN.search(html, at) if at <= last_end or html.startswith("<!", at) else None
         if m is None:
             say(html[at:])
             break
@@ -132,71 +211,87 @@ def blocks(html: str) -> list[Block]:
                 say(m[0][9:-3])
             continue
         tag, closing = m[2].lower(), m[1] == "/"
-        if tag in RAW_TAGS:
+        if tag in RAW_TAGS or tag in SKIPPED_TAGS:
             if not closing and not m[3].endswith("/"):
-                skip = tag
+                at = beyond(tag, at)
             continue
-        if tag == "br" or tag in ("img", "wbr", "input"):
+        if tag in ("br", "img", "wbr", "input"):
             parts.append("" if tag == "wbr" else " ")
             continue
+        if tag == "head":
+            continue
         if tag == "a":
             in_link = 0 if closing else 1
             continue
-        block = tag in BLOCK_TAGS
+        block = _is_block(tag)
         if block:
             flush()
             in_link = in_link if not closing else 0
         if tag in VOID_TAGS:
             continue
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    if stack[i].out and not stack[i - 1].out:
-                        flush()
-                    heading = 0 if block else heading
-                    del stack[i:]
-                    break
-                if not block and stack[i].tag in BLOCK_TAGS:
-                    break
+            i = stack.last((tag,))
+            if i and (block or i > stack.blocks[-1]):
+                here, below = stack.open[i], stack.open[i - 1]
+                if (here.out and not below.out) or here.named != below.named:
+                    flush()
+                heading = 0 if block else heading
+                stack.cut(i)
             continue
         if block:
             heading = int(tag in HEADINGS)
-            while len(stack) > 1 and (stack[-1].tag == "p" or stack[-1].tag not in BLOCK_TAGS):
-                stack.pop()  # a block ends an open paragraph and what was left open inside it
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in _LIMITS.get(tag, ()):
-                    break
-                if stack[i].tag in _CLOSES.get(tag, ()):
-                    del stack[i:]
-                    break
-            stack.append(_enter(tag, m[3], stack[-1]))
-        elif m[3].strip():
-            inner = _enter(tag, m[3], stack[-1])
-            if inner.out and not stack[-1].out:
+            paragraph = stack.last(("p",))
+            if paragraph:  # a block ends an open paragraph and what was left open inside it
+                stack.cut(paragraph)
+            if tag in _CLOSES:
+                ended = stack.last(_CLOSES[tag])
+                if ended > stack.last(_LIMITS[tag]):
+                    stack.cut(ended)
+            stack.push(page.enter(tag, m[3], stack.open[-1]))
+        elif not m[3].endswith("/"):
+            top = stack.open[-1]
+            inner = page.enter(tag, m[3], top) if m[3].strip() else _Open(tag, top.out, top.main, top.heads_only, top.named)
+            if inner.out != top.out or inner.named != top.named:
                 flush()
-                stack.append(inner)
-            else:
-                stack.append(_Open(tag, stack[-1].out, stack[-1].main, stack[-1].heads_only))
+            stack.push(inner)
     flush()
-    return found
+    return found, page
+
+
+def _without_named(found: list[Block], page: _Page) -> list[Block]:
+    """Blocks outside of what names put out; what holds most of the good text is no sidebar, whatever its name."""
+    first_pass(found)
+    good = [0] * len(page.holds)
+    total = 0
+    for b in found:
+        if b.label > 0 and not any(page.comments[i] for i in b.named):
+            total += len(b.text)
+            for i in b.named:
+                good[i] += len(b.text)
+    stays = [page.holds[i] and not page.comments[i] and 2 * good[i] > total for i in range(len(good))]
+    return [b for b in found if all(stays[i] for i in b.named)] or found
 
 
 def first_pass(found: list[Block]) -> None:
-    """Labels from each block alone."""
+    """Labels from each block alone; only headings and blocks under ``LONG`` are left undecided.
+
+    Where no block has the stop words of a known language, long blocks are told by the ends of sentences.
+    """
+    shares = []
     for b in found:
         words = re.findall(r"[^\W\d_]+", b.text.lower())
-        stops = sum(w in _STOPS for w in words) / max(1, len(words))
+        shares.append(sum(w in _STOPS for w in words) / max(1, len(words)))
+    known = any(share >= STOPS_LOW and len(b.text) >= SHORT for share, b in zip(shares, found, strict=True))
+    for share, b in zip(shares, found, strict=True):
         n = len(b.text)
         if b.links > LINKS * n:
             b.label = -1
         elif b.heading or n < SHORT:
             b.label = 0
-        elif stops >= STOPS_HIGH or (n >= LONG and stops >= STOPS_LOW):
-            b.label = 1
-        elif n >= LONG and not b.main and not words:
-            b.label = -1
+        elif n >= LONG:
+            b.label = 1 if b.main or share >= STOPS_LOW or (not known and _SENTENCE.search(b.text)) else -1
         else:
-            b.label = 0
+            b.label = 1 if share >= STOPS_HIGH else 0
 
 
 def second_pass(found: list[Block]) -> None:
@@ -232,7 +327,6 @@ def main_text(html: str) -> str:
     found = blocks(html)
     if any(b.main for b in found):
         found = [b for b in found if b.main]
-    first_pass(found)
     second_pass(found)
     return "\n".join(b.text for b in found if b.label > 0)
 
@@ -241,8 +335,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
     """``page_id, url, text, n_chars`` for every row of ``pages``.
 
     Null and empty pages, and pages without a good block, have the text ''. Markup that is cut off or not
-    closed is read as far as it goes. Repeated rows each get their text; an empty table gives an empty
-    result; other columns are not looked at.
+    closed is read as far as it goes; very long and deeply nested pages are read whole, in time that grows with
+    their length. Repeated rows each get their text; an empty table gives an empty result; other
+    columns are not looked at.
     """
 
     def make(rows):
