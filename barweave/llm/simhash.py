@@ -30,7 +30,11 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     if not words:
         return 0
     parts = [b" ".join(words)] if len(words) < shingle else map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-    hashes = np.fromiter(map(xxh64_intdigest, parts, repeat(SEED)), np.uint64)
+    return of_hashes(np.fromiter(map(xxh64_intdigest, parts, repeat(SEED)), np.uint64))
+
+
+def of_hashes(hashes: np.ndarray) -> int:
+    """The signed number whose bits are those that more than half of the hashes have."""
     ones = np.zeros(64, np.int64)
     for start in range(0, len(hashes), 1 << 15):
         chunk = hashes[start : start + (1 << 15)].astype(">u8")
@@ -124,24 +128,22 @@ def keep_one(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     """The rows of ``docs`` (columns ``doc_id``, ``text`` and any others) with one document of each group.
 
     The smallest doc_id of a group stays; a null id stays only in a group without any other. Rows that
-    repeat an id and a fingerprint count as one.
+    repeat an id and a fingerprint count as one. Null and empty texts and texts without words are one
+    group; very long texts are taken whole. Other columns stay as they are, whatever their names; an
+    empty table stays empty.
     """
     found = written(_grouped(docs, "doc_id", "text", budget), "groups")
     if not found.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count():
         return docs.join(found.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")
     ids = found.groupBy("root").agg(F.min(first).alias("first")).select("first.doc_id", "first.fp")
-    full = with_fingerprint(docs)
-    match = full["doc_id"].eqNullSafe(ids["doc_id"]) & (full["fp_"] == ids["fp"])
-    return full.join(ids, match, "left_semi").dropDuplicates(["doc_id", "fp_"]).select(docs.columns)
-
-
-def with_fingerprint(docs: DataFrame) -> DataFrame:
-    """``docs`` with a further column ``fp_``."""
 
     def make(texts):
         import pyarrow as pa
 
         return pa.array([fingerprint(t) for t in texts], pa.int64())
 
-    return extended(docs, make, "fp_", "bigint")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "text")
+    full = extended(rows, make, "fp", "bigint")
+    match = full["doc_id"].eqNullSafe(ids["doc_id"]) & (full["fp"] == ids["fp"])
+    return full.join(ids, match, "left_semi").dropDuplicates(["doc_id", "fp"]).select("row.*")
