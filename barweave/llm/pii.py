@@ -7,9 +7,10 @@ and the values that stand in them are a graph, which is scored in rounds: a patt
 is the share of good values among all values that stand in it (of any kind, candidates included), and a
 value is good if it is a seed or if the patterns of its places say so. A pattern counts from ``SEEDS``
 values on, needs the lower bound of its confidence above ``CONFIDENCE``, and must hold in both halves
-that values are dealt into, so what one half suggests the other has to bear out. A candidate listens to the
-longest pattern around it that enough values stand in, so "order number" is heard before "number". Rounds end
-when no value is new; good values only grow in number, so they do end.
+that values are dealt into, so what one half suggests the other has to bear out; it counts against a kind
+where the upper bound is below. A candidate listens to the longest pattern around it that is decided either way,
+so "order number" is heard before "number". Rounds end when no value is new; good values only grow in
+number, so they do end.
 """
 
 from __future__ import annotations
@@ -129,10 +130,10 @@ def _scan(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text_key", "base", others.alias("others")).withColumn("row", F.monotonically_increasing_id())
 
 
-def _lower_bound(good: Column, n: Column) -> Column:
-    """Wilson's lower bound of a share of which ``good`` in ``n`` were seen."""
+def _bound(good: Column, n: Column, side: int) -> Column:
+    """Wilson's lower (``side`` -1) or upper (1) bound of a share of which ``good`` in ``n`` were seen."""
     p, z2 = good / n, ERRORS * ERRORS
-    return (p + z2 / (2 * n) - ERRORS * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)
+    return (p + z2 / (2 * n) + side * ERRORS * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)
 
 
 def learn(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -152,34 +153,41 @@ def learn(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
     made.append(known := written(known, "known"))
     totals = known.groupBy("context").agg(F.count(F.lit(1)).alias("values"), F.sum(half).alias("values_1")).where(F.col("values") >= SEEDS)
     made.append(totals := written(totals, "totals"))
-    # The place of a candidate listens to the first of its patterns that has enough values.
     around = places.where("seed = 0").select("place", "kind", "value", "n", F.explode("contexts").alias("c")).select("place", "kind", "value", "n", "c.*")
-    heard = around.join(totals.select("context"), "context").groupBy("place", "kind", "value", "n").agg(F.min_by("context", "rank").alias("context"))
-    made.append(heard := written(heard, "heard"))
+    made.append(heard := written(around.join(totals, "context"), "heard"))
     made.append(seeds := written(places.where("seed = 1").select("kind", "value").distinct(), "seeds"))
     good, n_good = seeds, seeds.count()
     while True:
         hits = known.join(good, ["kind", "value"]).groupBy("context", "kind").agg(F.count(F.lit(1)).alias("good"), F.sum(half).alias("good_1"))
-        hits = hits.where(F.col("good") >= SEEDS).join(totals, "context")
-        first, second = (F.col("good") - F.col("good_1"), F.col("values") - F.col("values_1")), (F.col("good_1"), F.col("values_1"))
-        borne_out = [(g > 0) & (g >= CONFIDENCE * v) for g, v in (first, second)]
-        kept = hits.where((_lower_bound(F.col("good"), F.col("values")) >= CONFIDENCE) & borne_out[0] & borne_out[1])
-        made.append(kept := written(kept.select("context", "kind", (F.col("good") / F.col("values")).alias("confidence"), "good"), "patterns"))
+        made.append(hits := written(hits.join(totals, "context"), "hits"))
+        said = heard.join(hits.drop("values", "values_1"), ["context", "kind"], "left").na.fill(0, ["good", "good_1"])
+        decided = said.withColumn("holds", _holds()).where(F.col("holds") | (_bound(F.col("good"), F.col("values"), 1) < CONFIDENCE))
+        # The place of a candidate listens to the first of its patterns that is decided.
+        each = decided.groupBy("place", "kind", "value", "n").agg(F.min_by(F.when(F.col("holds"), F.col("good") / F.col("values")).otherwise(0.0), "rank").alias("confidence"))
         weight = F.greatest("n", F.lit(1))
-        score = F.sum(weight * F.coalesce("confidence", F.lit(0.0))) / F.sum(weight)
-        new = heard.join(kept, ["context", "kind"], "left").groupBy("kind", "value").agg(score.alias("score")).where(F.col("score") >= CONFIDENCE)
+        new = each.groupBy("kind", "value").agg((F.sum(weight * F.col("confidence")) / F.sum(weight)).alias("score")).where(F.col("score") >= CONFIDENCE)
         made.append(new := written(new, "discovered"))
         made.append(good := written(seeds.unionByName(new.select("kind", "value")).distinct(), "good"))
         n_before, n_good = n_good, good.count()
         if n_good == n_before:
             break
+    patterns = written(hits.where(_holds()).select("context", "kind", (F.col("good") / F.col("values")).alias("confidence"), "good"), "patterns")
     # A candidate that is a seed elsewhere, with other marks, is as good as that.
     again = places.where("seed = 0").select("kind", "value").distinct().join(seeds, ["kind", "value"]).withColumn("score", F.lit(1.0))
     found = written(new.unionByName(again).groupBy("kind", "value").agg(F.max("score").alias("score")), "discovered")
     for df in made:
-        if df is not kept:
-            drop_written(scanned.sparkSession, df)
-    return kept, found
+        drop_written(scanned.sparkSession, df)
+    return patterns, found
+
+
+def _holds() -> Column:
+    """Whether a pattern (``good`` of ``values``, and of the second half ``good_1`` of ``values_1``) stands for a kind."""
+    good, values, good_1, values_1 = (F.col(c) for c in ("good", "values", "good_1", "values_1"))
+    halves = ((good - good_1, values - values_1), (good_1, values_1))
+    out = (good >= SEEDS) & (_bound(good, values, -1) >= CONFIDENCE)
+    for g, v in halves:
+        out = out & (g > 0) & (g >= CONFIDENCE * v)
+    return out
 
 
 def find(docs: DataFrame) -> DataFrame:
