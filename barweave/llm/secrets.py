@@ -1,8 +1,9 @@
 """Secrets in versioned texts: a ledger of scanned blobs, so that each content is scanned once for each rule.
 
 Every version of every path is addressed by the digest of its content. Pairs of blob and rule version
-that the ledger does not have yet are scanned, once for each blob; the findings are joined back to all
-paths that hold the blob. Built-in functions only.
+that the ledger does not have yet are scanned, once for each blob, and added to it; the findings are joined
+back to all paths that hold the blob. The ledger is a Parquet table in a folder that driver and executors
+share, and outlives the session where that folder does. Built-in functions only.
 """
 
 from __future__ import annotations
@@ -10,10 +11,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import whole_text, written
+from .common import _path, left_joined, whole_text, written
 from .spans import count_kind, listed, matches, of_kind
 
 BASE = ("assign", "access", "hex")
@@ -75,28 +76,77 @@ def scan(versions: DataFrame, due: DataFrame, rules: tuple[Rule, ...] = RULES, i
     return each.dropDuplicates(["blob", "rule", "version"])
 
 
+@dataclass(frozen=True)
+class Ledger:
+    """The stored ledger: ``blob, rule, version, spans``, a part of the folder for each arrival that was scanned.
+
+    A part that is written again (a run that is repeated after it broke off) takes the place of the old one.
+    """
+
+    spark: SparkSession
+    folder: str
+
+    def load(self) -> DataFrame | None:
+        """All parts; None before the first."""
+        fs, path = _path(self.spark, self.folder)
+        if not fs.exists(path) or not fs.listStatus(path):
+            return None
+        return self.spark.read.option("recursiveFileLookup", "true").parquet(self.folder)
+
+    def add(self, scanned: DataFrame, arrival: str) -> None:
+        scanned.write.mode("overwrite").parquet(f"{self.folder}/arrival-{arrival}")
+
+
+def take_in(versions: DataFrame, ledger: Ledger, arrival: str, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Scan the blobs of ``versions`` that the ledger lacks for a rule version, and add what was found."""
+    addressed = written(blobs(versions, id_col, text_col), "blobs")
+    due = unseen(ledger.spark, addressed, ledger.load(), rules)
+    ledger.add(scan(versions, due, rules, id_col, text_col), arrival)
+
+
+def _joined_back(addressed: DataFrame, known: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    now = known.join(F.broadcast(rule_table(addressed.sparkSession, rules)), ["rule", "version"])
+    by_blob = now.where("size(spans) > 0").groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    none = F.array().cast(by_blob.schema["spans"].dataType)
+    return left_joined(addressed, by_blob, "blob").select(F.col("path").alias("doc_id"), "blob", F.coalesce("spans", none).alias("spans"))
+
+
 def findings(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """``doc_id, blob, spans`` for every row of ``versions``, and the ledger with what was scanned now.
 
     ``ledger`` (``blob, rule, version, spans``) holds what earlier runs found; blobs that it has for a
     rule version are not scanned for it again. Spans are sorted by start, then rule. Null and empty texts
-    share one blob without secrets; repeated rows and shared contents each get their spans; other columns
-    are not looked at; an empty table gives an empty result and an unchanged ledger.
+    share one blob without secrets; very long texts are scanned whole; repeated rows and shared contents each
+    get their spans; other columns are not looked at; an empty table gives an empty result and an unchanged ledger.
     """
     spark = versions.sparkSession
     addressed = written(blobs(versions, id_col, text_col), "blobs")
     new = written(scan(versions, unseen(spark, addressed, ledger, rules), rules, id_col, text_col), "scanned")
     known = new if ledger is None else ledger.unionByName(new)
-    now = known.join(F.broadcast(rule_table(spark, rules)), ["rule", "version"])
-    by_blob = now.where("size(spans) > 0").groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    none = F.array().cast(by_blob.schema["spans"].dataType)
-    out = addressed.join(by_blob, "blob", "left").select(F.col("path").alias("doc_id"), "blob", F.coalesce("spans", none).alias("spans"))
-    return out, known
+    return _joined_back(addressed, known, rules), known
 
 
-def digests(versions: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """Counts of the base spans by kind, the digest of their list, and the list of all spans."""
+def history(arrivals: list[DataFrame], ledger: Ledger, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, blob, spans`` for every row of all ``arrivals``, which are taken in one after another.
+
+    An arrival is a batch of versions; of each, only what neither the ledger nor an earlier arrival had is
+    scanned. The rest is as in :func:`findings`.
+    """
+    for i, versions in enumerate(arrivals):
+        take_in(versions, ledger, f"{i:06d}", rules, id_col, text_col)
+    every = arrivals[0]
+    for versions in arrivals[1:]:
+        every = every.unionByName(versions)
+    return _joined_back(written(blobs(every, id_col, text_col), "blobs"), ledger.load(), rules)
+
+
+def digested(found: DataFrame) -> DataFrame:
+    """Counts of the base spans by kind, the digest of their list, and the list of all spans of ``found`` (``doc_id, spans``)."""
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
-    found = findings(versions, ledger)[0]
     counts = [count_kind(F.col("spans"), k).alias(f"n_{k}") for k in BASE]
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def digests(versions: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+    """:func:`digested` of the findings in ``versions``."""
+    return digested(findings(versions, ledger)[0])

@@ -113,3 +113,32 @@ def test_more_rules_add_spans(spark):
     text = "-----BEGIN RSA PRIVATE KEY----- ghp_" + "a1B2" * 9 + " x"
     row = secrets.digests(frame(spark, [text])).collect()[0]
     assert row.spans == "private_key:0:31,prefixed:32:72" and row.n_assign == row.n_access == row.n_hex == 0
+
+
+def test_stored_ledger_scans_each_blob_once_over_arrivals(spark, tmp_path):
+    """Two arrivals of a table: of the second only what is new is scanned, and a third one like it scans nothing."""
+    ledger = secrets.Ledger(spark, f"file://{tmp_path}/ledger")
+    assert ledger.load() is None
+    first = spark.createDataFrame([(1, "token=abcdef1"), (2, "token=abcdef1"), (3, None), (3, "")], "doc_id long, text string")
+    second = spark.createDataFrame([(1, "token=abcdef1"), (1, "passwd: zzzzzz9"), (4, "passwd: zzzzzz9"), (5, "clean")], "doc_id long, text string")
+    rows = secrets.history([first, second], ledger).collect()
+    assert sorted((r.doc_id, len(r.spans)) for r in rows) == [(1, 1), (1, 1), (1, 1), (2, 1), (3, 0), (3, 0), (4, 1), (5, 0)]
+    parts = {a: spark.read.parquet(f"file://{tmp_path}/ledger/arrival-{a:06d}") for a in (0, 1)}
+    n = len(secrets.RULES)
+    assert parts[0].select("blob").distinct().count() == 2 and parts[1].select("blob").distinct().count() == 2
+    assert parts[0].join(parts[1], ["blob", "rule", "version"]).count() == 0 and ledger.load().count() == 4 * n
+    again = secrets.Ledger(spark, ledger.folder)  # a later session
+    assert secrets.unseen(spark, secrets.blobs(second), again.load()).count() == 0
+    secrets.take_in(second, again, "000002")
+    assert spark.read.parquet(f"file://{tmp_path}/ledger/arrival-000002").count() == 0
+    newer = tuple(secrets.Rule(r.name, r.pattern, r.likely, r.valid, 2 if r.name == "hex" else 1) for r in secrets.RULES)
+    secrets.take_in(first, again, "000003", newer)
+    assert {(r.rule, r.version) for r in spark.read.parquet(f"file://{tmp_path}/ledger/arrival-000003").collect()} == {("hex", 2)}
+
+
+def test_the_query_of_two_arrivals_against_plain_patterns(spark, tmp_path):
+    docs = TEXTS + TEXTS[-15:] + ["token=abcdef1"] * 1500
+    frame(spark, docs).write.parquet(str(tmp_path / "documents.parquet"))
+    from barweave.llm.queries import op10_secrets
+
+    compare(op10_secrets(spark, str(tmp_path)).collect(), SECRETS, docs)
