@@ -24,7 +24,7 @@ from .common import per_text
 #: Stands for the end of a word inside the automaton; no byte maps to it.
 END = "￿"
 #: Words that a worker remembers before it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 
 def byte_letters() -> list[str]:
@@ -83,6 +83,8 @@ class WordBpe:
         key = left << 20 | right
         known = self._fits.get(key)
         if known is None:
+            if len(self._fits) >= REMEMBERED:
+                self._fits.clear()
             known = self._fits[key] = self._compatible(left, right)
         return known
 
@@ -165,7 +167,7 @@ def encoder(path: str) -> WordBpe:
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """``doc_id, n_tokens, ids, decoded`` for every row: the ids in order, and the text they decode to.
 
-    Null counts as the empty text, which has no ids and decodes to ''. Rows keep their number; ids may
+    Null counts as the empty text, which has no ids and decodes to ''; very long texts are encoded whole. Rows keep their number; ids may
     repeat or be null; other columns are not looked at. The vocabulary file is read in each worker from
     ``path``, which must lead to it on every machine.
     """

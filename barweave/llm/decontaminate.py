@@ -25,7 +25,7 @@ from .common import filtered, kind_of, per_text, whole_text
 #: q-gram length; edits allowed for each character of an item; characters of a block of the benchmark.
 Q, RATE, BLOCK_CHARS = 8, 0.1, 4_000_000
 #: Characters of documents, and pairs of q-grams, that are looked at together.
-AT_ONCE, PAIRS = 2_000_000, 4_000_000
+AT_ONCE, PAIRS = 1_000_000, 2_000_000
 #: Bits of the tables of q-grams and of the coarse count.
 SLOTS, COARSE = 22, 20
 
@@ -279,7 +279,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float
     """``doc_id, item_id, edits, start, end``: one row for each row of ``docs`` and item that occurs in it.
 
     The place is the best one (least edits, then the first), in code points of the text, end exclusive.
-    Null and empty texts match nothing. Items of fewer than ``q`` characters after normalisation are too
+    Null and empty texts match nothing; very long ones are searched whole; other columns are not looked at. Items of fewer than ``q`` characters after normalisation are too
     short to tell anything and match nothing; null item ids are left out. Items with equal texts each get
     a row, and so do repeated rows of ``docs``. An empty table on either side gives an empty result.
     """
@@ -309,7 +309,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of ``docs`` in which no item occurs, with all their columns."""
+    """The rows of ``docs`` in which no item occurs, with all their columns, whatever their names.
+
+    Null and empty texts hold nothing and stay; very long texts are searched whole; repeated rows are judged
+    each by itself. Without items all rows stay; an empty table stays empty.
+    """
     out = docs
     for texts, _ in _blocks(benchmark, block_chars):
 

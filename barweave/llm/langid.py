@@ -15,14 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .codepoints import BREAK, SPACE, batches_of, codes, tables
-from .common import _small_batches, filtered, held_out, per_text, whole_text
+from .common import _small_batches, drop_written, filtered, held_out, per_text, whole_text, written
 
 ORDERS, BITS, SMOOTHING = (1, 2, 3), 14, 0.5
 BUCKETS = 1 << BITS
-#: More languages than this would make the model too large to broadcast.
-MAX_LANGUAGES = 256
+#: More languages than this would make the model (64 kB for each) too large to broadcast; so many are gathered at a time.
+MAX_LANGUAGES, GATHERED = 2048, 64
 #: Code points looked at together, for one language.
-AT_ONCE = 1_000_000
+AT_ONCE = 200_000
 UNKNOWN = "und"
 
 
@@ -80,7 +80,10 @@ class Model:
 
 
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Model:
-    """A model of all rows of ``docs`` with a language; null texts count as empty. No rows: a model of no language."""
+    """A model of all rows of ``docs`` with a language; null texts count as empty. No rows: a model of no language.
+
+    More than ``MAX_LANGUAGES`` languages are refused before any count is gathered.
+    """
     _small_batches(docs.sparkSession)
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), whole_text(text_col).alias("text"))
 
@@ -105,14 +108,16 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Mo
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at.astype(np.int32)), pa.array(here[at])], ["lang", "bucket", "n"])
 
     counts = rows.mapInArrow(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    table = counts.toArrow().to_pydict()  # at most MAX_LANGUAGES * (BUCKETS + 1) rows, or this is refused below
-    languages = sorted(set(table["lang"]))
+    counts = written(counts, "grams")
+    languages = sorted(r.lang for r in counts.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
     if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; at most {MAX_LANGUAGES} make a model")
+        raise ValueError(f"more than {MAX_LANGUAGES} languages; so many make no model")
     total = np.zeros((len(languages), BUCKETS + 1))
     number = {x: i for i, x in enumerate(languages)}
-    if languages:
+    for start in range(0, len(languages), GATHERED):
+        table = counts.where(F.col("lang").isin(languages[start : start + GATHERED])).toArrow().to_pydict()  # at most GATHERED * (BUCKETS + 1) rows
         np.add.at(total, ([number[x] for x in table["lang"]], table["bucket"]), table["n"])
+    drop_written(docs.sparkSession, counts)
     seen = total[:, :BUCKETS] + SMOOTHING
     weights = np.log(seen / seen.sum(axis=1, keepdims=True)).astype(np.float32)
     prior = np.log((total[:, BUCKETS] + 1) / (total[:, BUCKETS] + 1).sum()) if languages else np.zeros(0)
@@ -133,7 +138,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """``doc_id, lang_pred, score`` for every row: the likeliest language (ties: the first by name) and its posterior.
 
     Texts that are null or have no letter, and all texts if the model knows no language, are ``und`` with
-    score 0. Repeated rows get the same answer each; an empty table gives an empty result.
+    score 0; very long texts are read whole; other columns are not looked at. Repeated rows get the same answer each; an empty table gives an empty result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -147,7 +152,11 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose text is in some language of the model with at least this score."""
+    """The rows of ``docs`` whose text is in some language of the model with at least this score.
+
+    Null and empty texts and texts without letters go, and so do all if the model knows no language; very long texts are
+    read whole. Repeated rows are judged each by itself; other columns stay as they are; an empty table stays empty.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(texts):
