@@ -269,7 +269,7 @@ def _without_named(found: list[Block], page: _Page) -> list[Block]:
             for i in b.named:
                 good[i] += len(b.text)
     stays = [page.holds[i] and not page.comments[i] and 2 * good[i] > total for i in range(len(good))]
-    return [b for b in found if all(stays[i] for i in b.named)] or found
+    return [b for b in found if all(stays[i] for i in b.named)]
 
 
 def first_pass(found: list[Block]) -> None:
