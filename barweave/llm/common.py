@@ -16,11 +16,15 @@ _FOLDERS: dict[str, tuple[SparkSession, str]] = {}
 def shared_folder(spark: SparkSession) -> str:
     """A folder of this session's own below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where that setting is absent (tests on one machine) a temporary folder stands in for it.
+    Where all run in one process (a local master, as in tests), a temporary folder stands in for a missing
+    setting; on a cluster its lack is an error.
     """
     app = spark.sparkContext.applicationId
     if app not in _FOLDERS:
-        top = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="barweave-")
+        top = spark.conf.get("spark.checkpoint.dir", None)
+        if not top and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        top = top or "file://" + tempfile.mkdtemp(prefix="barweave-")
         _FOLDERS[app] = spark, f"{top.rstrip('/')}/barweave-{app}-{uuid.uuid4().hex[:8]}"
     return _FOLDERS[app][1]
 
@@ -59,6 +63,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def left_joined(rows: DataFrame, table: DataFrame, key: str, share: int = 1000) -> DataFrame:
+    """Left join of ``rows`` with ``table``, whose keys are unique, where some keys may hold a large part of all rows.
+
+    Keys that hold a thousandth of the rows or more (so there are at most ``share`` of them) are broadcast and do not
+    meet in one task; the others are shuffled. ``rows`` is read twice and should be written.
+    """
+    n = rows.count()
+    heavy = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n_")).where(F.col("n_") >= max(1000, n / share)).select(key)
+    heavy = F.broadcast(written(heavy, "heavy"))  # at most `share` rows
+    common = rows.join(heavy, key, "left_semi").join(F.broadcast(table.join(heavy, key, "left_semi")), key, "left")
+    return rows.join(heavy, key, "left_anti").join(table, key, "left").unionByName(common)
+
+
 def whole_text(name: str = "text") -> Column:
     """The whole text; null counts as empty."""
     return F.coalesce(F.col(name), F.lit(""))

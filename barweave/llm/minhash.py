@@ -130,9 +130,12 @@ def in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
 
     A bucket is a range of ids, so rows are shuffled once. The row that follows a bucket is the first of
     the next one (of the first, after the last) and has ``last`` set; there is one for each bucket.
-    Null ids come after all others; equal ids in the order of their texts.
+    Null ids come after all others; equal ids in the order of their texts. Ids must be whole numbers, as
+    others have no descending order to speak of.
     """
     spark = docs.sparkSession
+    if kind_of(docs, id_col) not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{id_col} must be a whole number")
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")).withColumn("key", F.coalesce("doc_id", F.lit(-(2**63)).cast("long")))
     cuts = docs.select(F.col(id_col).cast("double").alias("x")).approxQuantile("x", [i / parts for i in range(1, parts)], 0.1 / parts) if parts > 1 else []
@@ -145,7 +148,7 @@ def in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     following = rows.join(F.broadcast(follow), "key").groupBy("before", "key").agg(F.min("text").alias("text"))
     ends = following.select(F.col("before").alias("bucket"), F.lit(True).alias("last"), "key", F.lit(None).cast("long").alias("doc_id"), "text")
     both = rows.select("bucket", F.lit(False).alias("last"), "key", "doc_id", "text").unionByName(ends)
-    return both.repartition(parts, "bucket").sortWithinPartitions("bucket", "last", F.desc("key"), "text")
+    return both.repartitionByRange(parts, "bucket").sortWithinPartitions("bucket", "last", F.desc("key"), "text")
 
 
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bins: int = BINS, bits: int = BITS) -> DataFrame:
@@ -153,7 +156,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``. The next
     row is the one of the next lower id (see :func:`in_order`), after the last the first; the only row is
-    its own next. Null counts as empty. Texts without words all have one fingerprint, and so have any
+    its own next. Null counts as empty; very long texts are read whole. Texts without words all have one fingerprint, and so have any
     equal texts. An empty table gives an empty result; other columns are not looked at.
     """
     rows = in_order(docs, id_col, text_col)

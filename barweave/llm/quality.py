@@ -123,11 +123,13 @@ def rated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model:
     """A model of the documents that ``labels`` (``doc_id``, ``quality`` 0 or 1) marks, ``most`` of them by a hash of the id.
 
-    Labels that are null or without a document count for nothing; an id with both labels counts as both.
+    Labels that are null or without a document count for nothing; an id with both labels counts as both,
+    and so does one with several texts, but no more than ``most`` rows are gathered.
     """
     chosen = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", (F.col("quality") == 1).alias("good")).distinct()
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "good").limit(most)
-    got = rated(docs.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")).join(F.broadcast(chosen), "doc_id").select("features", "good").toArrow()  # `most` rows
+    got = rated(docs.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")).join(F.broadcast(chosen), "doc_id")
+    got = got.orderBy(F.xxhash64("doc_id", "features", "good")).limit(most).select("features", "good").toArrow()  # `most` rows of fixed size
     if not got.num_rows:
         return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES), 0.0)
     rows = np.array(got.column("features").combine_chunks().values).reshape(-1, N_FEATURES)
@@ -139,7 +141,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, score, predicted`` for every row: 0 to 1, and 1 where the score reaches the threshold.
 
-    Null and empty texts are scored like any others, by their (zero) features. Repeated rows get the same
+    Null and empty texts are scored like any others, by their (zero) features; very long texts are read whole; other
+    columns are not looked at. Repeated rows get the same
     score each; an empty table gives an empty result; a model without both labels scores 0.7 throughout.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, extended, per_text, written
+from .common import drop_written, extended, left_joined, per_text, written
 from .graph import components
 
 SHINGLE, SEED, BUDGET, BLOCKS, LEVEL = 3, 42, 2, 4, 8
@@ -102,7 +102,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budg
     Rows with the same fingerprint are linked, and so are rows whose fingerprints differ in at most
     ``budget`` bits. component_id is the smallest id that can be reached; n_links counts the other
     *fingerprints* within the budget. Null and empty texts and texts without words have fingerprint 0
-    and are linked like any others. Null ids get a component but never name one that has an id. An
+    and are linked like any others; very long texts are read whole. Null ids get a component but never name one that has an id. An
     empty table gives an empty result; other columns are not looked at.
     """
     return _grouped(docs, id_col, text_col, budget).drop("root")
@@ -120,7 +120,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, budget: int) -> DataFr
     named = joined.where("n_links > 0").groupBy("root").agg(F.min("first").alias("component_id"))
     named = joined.join(named, "root", "left").select("fp", "root", F.coalesce("component_id", "first").alias("component_id"), "n_links")
     drop_written(docs.sparkSession, links)
-    out = marked.join(named, "fp")
+    out = left_joined(marked, named, "fp")
     return out.select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links", "root")
 
 
