@@ -14,6 +14,7 @@ import re
 from dataclasses import dataclass
 from typing import Protocol
 
+# The names of the language.
 VARIABLES = ("open", "high", "low", "close", "volume", "amount", "oi")
 ALIASES = {"vol": "volume", "open_interest": "oi", "turnover": "amount", "opens": "open", "lows": "low", "highs": "high"}
 
@@ -33,7 +34,7 @@ NAMES = {
     "csrank": "cs_rank", "cszscore": "cs_zscore", "winsorizeq": "winsorize_q", "signedpower": "signed_power",
 }
 #: Operators whose window is an argument that must be a positive whole number, and its place.
-WINDOW_AT = {name: (2 if name in ("corr", "cov", "reg_beta", "reg_resi", "gated_corr", "gated_cov", "roll_corr") else 1) for name in TS if name not in ("scale", "own_rank", "cumsum", "expanding_zscore", "ewm")}
+WINDOW_AT = {name: (2 if name in ("corr", "cov", "reg_beta", "reg_resi", "gated_corr", "gated_cov", "roll_corr", "scale") else 1) for name in TS if name not in ("cumsum", "expanding_zscore", "ewm")}
 
 
 #: In the single-symbol expression dialect these need two values; elsewhere one.
@@ -125,6 +126,8 @@ def _call(name: str, args: tuple[Node, ...], dialect: str) -> Node:
         window = args[at]
         if window.kind != "num" or window.value != int(window.value) or window.value <= 0:
             raise FormulaError(f"{name} needs a positive whole window; anything else looks ahead")
+    if plain == "ewm" and not (args[1].kind == "num" and 0 < args[1].value <= 1):
+        raise FormulaError("ewm needs a weight above 0 and up to 1")
     if dialect == "expr" and plain in _AT_LEAST_TWO:
         return Node("call", _AT_LEAST_TWO[plain], (*args, Node("num", "num", value=2.0)))
     return Node("call", plain, args)

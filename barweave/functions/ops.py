@@ -28,17 +28,19 @@ def ratio(a: Column, b: Column) -> Column:
     return a / F.when(b != 0, b)
 
 
-#: Values that differ by less than about the eleventh digit are ties: below each bound, the step they are rounded to.
-TIES = ((1e2, 1e-9), (1e5, 1e-6), (1e8, 1e-3), (1e11, 1.0), (1e24, 1e7))
+#: Values that differ by less than about the eleventh digit are ties: below each bound, the power of ten that they are
+#: rounded to. Bounds go from 1e-25 to 1e26 in steps of a thousand; what is beyond them is not rounded.
+TIES = tuple((float(f"1e{at}"), at - 11) for at in range(-25, 27, 3))
 
 
 def steady(x: Column) -> Column:
-    """``x`` rounded so that ranks do not depend on the last bits of a sum."""
+    """``x`` rounded to nine to eleven digits, so that ranks do not depend on the last bits of a sum, however small it is."""
     out = x
-    for bound, step in reversed(TIES):
-        near = F.floor(x / step + 0.5).cast("double") * step if step >= 1 else F.floor(x * (1 / step) + 0.5).cast("double") / (1 / step)
+    for bound, power in reversed(TIES):
+        scale = F.lit(float(f"1e{abs(power)}"))
+        near = F.rint(x / scale) * scale if power >= 0 else F.rint(x * scale) / scale
         out = F.when(F.abs(x) < bound, near).otherwise(out)
-    return out
+    return F.when(x == 0, F.lit(0.0)).otherwise(out)
 
 
 def trailing(n: int) -> W:
@@ -107,7 +109,7 @@ def ewm(x: Column, alpha: float) -> Column:
     A gap lets the older weight decay and repeats the mean. Rows whose weight is below 1e-17 are left out,
     so the work for a row is bounded by a multiple of 1 / alpha however long a series is.
     """
-    n = min(100_000, ceil(40 / alpha) + 1)
+    n = ceil(40 / alpha) + 1
     start = F.struct(F.lit(None).cast("double").alias("mean"), F.lit(1.0).alias("weight"))
 
     def step(s: Column, v: Column) -> Column:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.ops import with_factors
+from .folds import folded
 
 
 def net_positions(trades: DataFrame) -> DataFrame:
@@ -23,51 +23,66 @@ def costs(trades: DataFrame, rate: float, least: float, stamp: float, slippage:
     return out.withColumn("cost", F.col("commission") + F.col("stamp") + F.col("slippage"))
 
 
+class _Average:
+    def __init__(self, symbol) -> None:
+        self.symbol = symbol
+        self.net = self.average = self.realised = 0.0
+
+    def row(self, side, volume, price):
+        change, net = side * volume, self.net
+        if net * change >= 0:
+            self.average = (self.average * abs(net) + price * volume) / (abs(net) + volume) if net or volume else 0.0
+        else:
+            closed = min(abs(net), volume)
+            self.realised += closed * (price - self.average) * (1 if net > 0 else -1)
+            if volume > abs(net):
+                self.average = price
+            elif volume == abs(net):
+                self.average = 0.0
+        self.net += change
+        return ()
+
+    def end(self):
+        return [(self.symbol, self.net, self.average, self.realised)]
+
+
 def average_cost(trades: DataFrame) -> DataFrame:
     """``symbol, net, average, realised``: the average price of the open position and the profit taken so far.
 
-    The average after a trade depends on the one before, so a symbol's trades are folded in order.
+    The average after a trade depends on the one before, so a symbol's trades are folded in order of ``seq``.
     """
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("seq")
-        net = average = realised = 0.0
-        for side, volume, price in zip(part["side"].tolist(), part["volume"].tolist(), part["price"].tolist(), strict=True):
-            change = side * volume
-            if net * change >= 0:
-                average = (average * abs(net) + price * volume) / (abs(net) + volume) if net or volume else 0.0
-            else:
-                closed = min(abs(net), volume)
-                realised += closed * (price - average) * (1 if net > 0 else -1)
-                if volume > abs(net):
-                    average = price
-                elif volume == abs(net):
-                    average = 0.0
-            net += change
-        return pd.DataFrame({"symbol": [part["symbol"].iloc[0]], "net": [net], "average": [average], "realised": [realised]})
-
-    return trades.select("symbol", "seq", "side", "volume", "price").groupBy("symbol").applyInPandas(run, "symbol string, net double, average double, realised double")
+    return folded(trades, "symbol", ["seq"], ["side", "volume", "price"], _Average, "symbol string, net double, average double, realised double")
+
+
+class _Pairs:
+    def __init__(self, symbol) -> None:
+        self.symbol = symbol
+        self.stack: list[list[float]] = []
+        self.pairs = self.wins = 0
+        self.profit = 0.0
+
+    def row(self, side, volume, price):
+        stack = self.stack
+        while volume > 1e-12 and stack and stack[-1][0] * side < 0:
+            top = stack[-1]
+            closed = min(top[1], volume)
+            profit = closed * (price - top[2]) * top[0]
+            self.pairs, self.wins, self.profit = self.pairs + 1, self.wins + (profit > 0), self.profit + profit
+            top[1] -= closed
+            volume -= closed
+            if top[1] <= 1e-12:
+                stack.pop()
+        if volume > 1e-12:
+            stack.append([side, volume, price])
+        return ()
+
+    def end(self):
+        return [(self.symbol, self.pairs, self.wins, self.profit)]
 
 
 def paired_profit(trades: DataFrame) -> DataFrame:
     """``symbol, pairs, wins, profit``: opposite trades paired last in, first out, residuals staying open."""
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("seq")
-        stack: list[list[float]] = []
-        profits = []
-        for side, volume, price in zip(part["side"].tolist(), part["volume"].tolist(), part["price"].tolist(), strict=True):
-            while volume > 1e-12 and stack and stack[-1][0] * side < 0:
-                top = stack[-1]
-                closed = min(top[1], volume)
-                profits.append(closed * (price - top[2]) * top[0])
-                top[1] -= closed
-                volume -= closed
-                if top[1] <= 1e-12:
-                    stack.pop()
-            if volume > 1e-12:
-                stack.append([side, volume, price])
-        return pd.DataFrame({"symbol": [part["symbol"].iloc[0]], "pairs": [len(profits)], "wins": [sum(p > 0 for p in profits)], "profit": [float(sum(profits))]})
-
-    return trades.select("symbol", "seq", "side", "volume", "price").groupBy("symbol").applyInPandas(run, "symbol string, pairs long, wins long, profit double")
+    return folded(trades, "symbol", ["seq"], ["side", "volume", "price"], _Pairs, "symbol string, pairs long, wins long, profit double")
 
 
 def exposures(trades: DataFrame) -> DataFrame:
@@ -124,22 +139,27 @@ def replay_targets(panel: DataFrame, capital: float, cost: float) -> DataFrame:
     return rows.select("date", "symbol", "position", "pnl", (F.lit(capital) + F.sum("pnl").over(w)).alias("equity"))
 
 
+class _Replay:
+    def __init__(self, symbol, capital: float, cost: float, limit: float) -> None:
+        self.symbol, self.capital, self.cost, self.limit = symbol, capital, cost, limit
+        self.position = self.cash = 0.0
+        self.prev = self.pending = None
+
+    def row(self, date, open_, close, target):
+        if self.pending is not None and self.pending != self.position:
+            change, prev = self.pending - self.position, self.prev
+            blocked = prev is not None and ((change > 0 and open_ >= prev * (1 + self.limit) - 1e-9) or (change < 0 and open_ <= prev * (1 - self.limit) + 1e-9))
+            if not blocked:
+                self.cash -= change * open_ + abs(change) * open_ * self.cost
+                self.position = self.pending
+        self.pending, self.prev = target, close
+        return [(date, self.symbol, self.position, self.capital + self.cash + self.position * close)]
+
+    def end(self):
+        return ()
+
+
 def replay_fold(panel: DataFrame, capital: float, cost: float, limit: float = 0.1) -> DataFrame:
     """As :func:`replay_targets`, but an order stays pending while the open is at its price limit, so bars are folded in order."""
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("date")
-        position = cash = 0.0
-        prev = pending = None
-        out = []
-        for date, open_, close, target in zip(part["date"].tolist(), part["open"].tolist(), part["close"].tolist(), part["target"].tolist(), strict=True):
-            if pending is not None and pending != position:
-                change = pending - position
-                blocked = prev is not None and ((change > 0 and open_ >= prev * (1 + limit) - 1e-9) or (change < 0 and open_ <= prev * (1 - limit) + 1e-9))
-                if not blocked:
-                    cash -= change * open_ + abs(change) * open_ * cost
-                    position = pending
-            out.append((date, position, capital + cash + position * close))
-            pending, prev = target, close
-        return pd.DataFrame({"date": [o[0] for o in out], "symbol": part["symbol"].tolist(), "position": [o[1] for o in out], "equity": [o[2] for o in out]})
-
-    return panel.select("date", "symbol", "open", "close", "target").groupBy("symbol").applyInPandas(run, "date date, symbol string, position double, equity double")
+    schema = "date date, symbol string, position double, equity double"
+    return folded(panel, "symbol", ["date"], ["date", "open", "close", "target"], lambda symbol: _Replay(symbol, capital, cost, limit), schema)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.ops import ratio
+from .folds import folded
 
 
 def is_trading_day(day: Column, holidays: list[str] = ()) -> Column:
@@ -49,35 +49,52 @@ def trading_day(ts: Column) -> Column:
 
 
 def resample_daily(bars: DataFrame) -> DataFrame:
-    """Daily bars by trading day from bars with ``ts``."""
+    """Daily bars by trading day from bars with ``ts``; of equal times, ``seq`` tells which is first, where there is one."""
     rows = bars.withColumn("date", trading_day(F.col("ts")))
+    at = F.struct("ts", "seq") if "seq" in bars.columns else F.col("ts")
     return rows.groupBy("symbol", "date").agg(
-        F.min_by("open", "ts").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ts").alias("close"),
-        F.sum("volume").alias("volume"), F.max_by("oi", "ts").alias("oi"), F.sum("amount").alias("amount"),
+        F.min_by("open", at).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", at).alias("close"),
+        F.sum("volume").alias("volume"), F.max_by("oi", at).alias("oi"), F.sum("amount").alias("amount"),
     )
 
 
+class _Anchored:
+    def __init__(self, symbol, seconds: int) -> None:
+        self.symbol, self.least = symbol, seconds * 1_000_000
+        self.bar = self.anchor = None
+
+    def row(self, micros, open_, high, low, close, volume, amount):
+        out = ()
+        if self.bar is None or micros - self.anchor >= self.least:
+            out = self.end()
+            self.anchor, self.bar = micros, [open_, high, low, close, volume, amount]
+        else:
+            bar = self.bar
+            self.bar = [bar[0], _most(max, bar[1], high), _most(min, bar[2], low), close, _sum(bar[4], volume), _sum(bar[5], amount)]
+        return out
+
+    def end(self):
+        return () if self.bar is None else [(self.symbol, self.anchor, *self.bar)]
+
+
+def _most(pick, a, b):
+    return b if a is None else a if b is None else pick(a, b)
+
+
+def _sum(a, b):
+    return b if a is None else a if b is None else a + b
+
+
 def resample_anchored(bars: DataFrame, seconds: int) -> DataFrame:
     """Bars of at least ``seconds``: a bar starts at the first row whose time is that far from the last start.
 
-    The start of each bar depends on the one before, so a symbol's rows are folded in order.
+    The start of each bar depends on the one before, so a symbol's rows are folded in order of ``ts, seq``.
     """
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["ts", "seq"], kind="stable")
-        stamps = part["ts"].astype("int64").to_numpy() // 1000 if str(part["ts"].dtype).endswith("[ns]") else part["ts"].astype("int64").to_numpy()
-        marks, anchor = [], None
-        for t in stamps.tolist():
-            if anchor is None or t - anchor >= seconds * 1_000_000:
-                anchor = t
-            marks.append(anchor)
-        part = part.assign(anchor=marks)
-        grouped = part.groupby("anchor", sort=True)
-        out = grouped.agg(ts=("ts", "first"), open=("open", "first"), high=("high", "max"), low=("low", "min"), close=("close", "last"), volume=("volume", "sum"), amount=("amount", "sum"))
-        out.insert(0, "symbol", part["symbol"].iloc[0])
-        return out.reset_index(drop=True)
-
-    schema = "symbol string, ts timestamp, open double, high double, low double, close double, volume double, amount double"
-    return bars.select("symbol", "ts", "seq", "open", "high", "low", "close", "volume", "amount").groupBy("symbol").applyInPandas(run, schema)
+    columns = ["open", "high", "low", "close", "volume", "amount"]
+    rows = bars.select("symbol", "seq", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"), *(F.col(c).cast("double").alias(c) for c in columns))
+    schema = "symbol string, micros long, " + ", ".join(f"{c} double" for c in columns)
+    made = folded(rows, "symbol", ["micros", "seq"], ["micros", *columns], lambda symbol: _Anchored(symbol, seconds), schema)
+    return made.select("symbol", F.timestamp_micros("micros").alias("ts"), *columns)
 
 
 def continuous(contracts: DataFrame) -> DataFrame:
@@ -119,10 +136,15 @@ def keep_last(rows: DataFrame, keys: list[str], seq: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), seq).alias("last")).select(*keys, "last.*")
 
 
-def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """``old`` with ``new`` laid over it by key."""
+def upserted(old: DataFrame, new: DataFrame, keys: list[str], seq: str | None = None) -> DataFrame:
+    """``old`` with ``new`` laid over it by key; of several new rows with one key, the one with the largest ``seq`` wins.
+
+    Without ``seq`` it is the one whose other columns are the largest, so that the outcome does not hang on partitions.
+    """
     both = old.withColumn("_age", F.lit(0)).unionByName(new.withColumn("_age", F.lit(1)))
-    return keep_last(both, keys, "_age").select(*old.columns)
+    others = [c for c in old.columns if c not in keys and c != seq]
+    at = F.struct("_age", *([seq] if seq else []), *others)
+    return both.groupBy(*keys).agg(F.max_by(F.struct(*(c for c in old.columns if c not in keys)), at).alias("last")).select(*keys, "last.*").select(*old.columns)
 
 
 def warehouse_statistics(bars: DataFrame, group: str = "exchange") -> DataFrame:
@@ -172,3 +194,10 @@ def limit_days(bars: DataFrame, limit: float = 0.1) -> DataFrame:
     change = ratio(F.col("close"), prev) - 1
     state = F.when(change >= limit - 1e-6, "up").when(change <= -limit + 1e-6, "down").otherwise("none")
     return bars.select("date", "symbol", state.alias("state"), (prev * (1 + limit)).alias("upper"), (prev * (1 - limit)).alias("lower"))
+
+
+def limit_prices(bars: DataFrame, limit: float = 0.1, places: int = 2) -> DataFrame:
+    """``date, symbol, lower, upper``: the prices that a day's orders may not go beyond, rounded to the exchange's places."""
+    prev = F.lag("close").over(W.partitionBy("symbol").orderBy("date"))
+    near = lambda price: F.rint(price * 10.0**places) / 10.0**places
+    return bars.select("date", "symbol", near(prev * (1 - limit)).alias("lower"), near(prev * (1 + limit)).alias("upper"))

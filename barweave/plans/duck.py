@@ -25,8 +25,12 @@ def ratio(a: str, b: str) -> str:
 
 def steady(x: str) -> str:
     """As in :mod:`barweave.functions.ops`: what ranks compare."""
-    cases = " ".join(f"WHEN abs(t) < {bound!r} THEN floor(t / {step!r}::DOUBLE + 0.5) * {step!r}::DOUBLE" if step >= 1 else f"WHEN abs(t) < {bound!r} THEN floor(t * {1 / step!r}::DOUBLE + 0.5) / {1 / step!r}::DOUBLE" for bound, step in TIES)
-    return f"list_transform([({x})::DOUBLE], lambda t: CASE {cases} ELSE t END)[1]"
+    def near(power: int) -> str:
+        scale = f"1e{abs(power)}::DOUBLE"
+        return f"round_even(t / {scale}, 0) * {scale}" if power >= 0 else f"round_even(t * {scale}, 0) / {scale}"
+
+    cases = " ".join(f"WHEN abs(t) < {bound!r}::DOUBLE THEN {near(power)}" for bound, power in TIES)
+    return f"list_transform([({x})::DOUBLE], lambda t: CASE WHEN t = 0 THEN 0 {cases} ELSE t END)[1]"
 
 
 def gated(value: str, counted: str, w: str, mp: int) -> str:
