@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def tokens(text: Column) -> Column:
     """Runs of Latin letters, digits and underscores in lower case, and single CJK characters."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[a-z0-9_]+|[\x{4e00}-\x{9fff}]"), F.lit(0))
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
 def keyword_score(rows: DataFrame, fields: dict[str, tuple[list[str], float]]) -> DataFrame:
@@ -17,20 +19,28 @@ def keyword_score(rows: DataFrame, fields: dict[str, tuple[list[str], float]]) -
     return rows.withColumn("score", sum(hits, F.lit(0.0)))
 
 
-def _times(word: str) -> Column:
-    return F.size(F.filter("t", lambda t: t == word))
+#: A token, and what may not stand beside a Latin one.
+TOKEN, LATIN = r"[a-z0-9_]+|[\x{4e00}-\x{9fff}]", "[a-z0-9_]"
+
+
+def _times(text: Column, word: str) -> Column:
+    """How often a word is a token of a lower-case text; what is no single token never is one."""
+    if re.fullmatch(f"{LATIN}+", word):
+        return F.regexp_count(text, F.lit(f"(?<!{LATIN}){word}(?!{LATIN})"))
+    return F.regexp_count(text, F.lit(word)) if re.fullmatch("[\u4e00-\u9fff]", word) else F.lit(0)
 
 
 def bm25(rows: DataFrame, key: str, text: str, query: list[str], k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """``key, score`` of the rows that hold some word of the query.
 
-    Lengths need every token, counts only the query's: both come from one pass without a shuffle of
-    tokens; what is shuffled is one row for each text and query word.
+    Tokens are counted in the text and never laid out or shuffled; what is shuffled is one row of totals. The
+    texts are read for the totals and again for the scores.
     """
     words = sorted(set(query))
-    seen = rows.select(F.col(key), tokens(F.col(text)).alias("t")).where(F.size("t") > 0)
-    counts = F.array(*(F.struct(F.lit(w).alias("token"), _times(w).alias("tf")) for w in words))
-    slim = seen.select(key, F.size("t").alias("n"), counts.alias("c"))
+    lower = F.lower(F.coalesce(F.col(text), F.lit("")))
+    seen = rows.select(F.col(key), lower.alias("t")).withColumn("n", F.regexp_count("t", F.lit(TOKEN))).where("n > 0")
+    counts = F.array(*(F.struct(F.lit(w).alias("token"), _times(F.col("t"), w).alias("tf")) for w in words))
+    slim = seen.select(key, "n", counts.alias("c"))
     totals = slim.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"), *(F.count_if(F.col("c")[i]["tf"] > 0).alias(f"df{i}") for i in range(len(words))))
     joined = slim.join(F.broadcast(totals))  # one row
     score = F.lit(0.0)

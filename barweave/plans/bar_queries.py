@@ -263,14 +263,14 @@ def risk_order_checks(spark, sf_dir):
     return accounts.order_checks(orders, denied, 400_000.0, 12).select(F.col("order_id").alias("o_orderkey"), "verdict")
 
 
-_TOKENS = "t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS token FROM documents WHERE lang = 'en')"
+_TOKENS = "t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS token FROM documents)"
 _BM25 = f"""{_TOKENS}, tf AS (SELECT doc_id, token, count(*) AS tf FROM t GROUP BY 1, 2), len AS (SELECT doc_id, sum(tf) AS n FROM tf GROUP BY 1), s AS (SELECT count(*) AS docs, avg(n) AS mean FROM len),
  df AS (SELECT token, count(*) AS df FROM tf WHERE token IN ('tion', 'onth', 'ing') GROUP BY 1),
  b AS (SELECT doc_id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / mean))) AS score FROM tf JOIN df USING (token) JOIN len USING (doc_id), s GROUP BY doc_id)"""
 
 
 def _documents(spark, sf_dir):
-    return panels.table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "text")
+    return panels.table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 @query(f"WITH {_BM25} SELECT doc_id, {duck.rounded('score')} AS score FROM b ORDER BY score DESC, doc_id LIMIT 20")
@@ -306,7 +306,10 @@ def stream_window_bars(spark, sf_dir):
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     rows = events.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("value").alias("price"), F.lit(1.0).alias("volume"))
     name = f"window_bars_{uuid.uuid4().hex[:8]}"
-    folder = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()).rstrip('/')}/{name}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    folder = f"{(shared or tempfile.mkdtemp()).rstrip('/')}/{name}"
     made = ticks.run_available(ticks.window_bars(rows, "6 hours", "1 hour"), name, "complete", folder)
     return made.select("symbol", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "open", "high", "low", "close", "n")
 
