@@ -42,6 +42,17 @@ def of_hashes(hashes: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(hashes)).view(">i8")[0])
 
 
+def of_hashes_words(hashes: np.ndarray, words: int) -> np.ndarray:
+    """A fingerprint of ``words`` signed numbers: every hash gives so many more, all by the rule of :func:`of_hashes`."""
+    salts = np.arange(words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    ones = np.zeros(64 * words, np.int64)
+    for start in range(0, len(hashes), 1 << 12):
+        mixed = (hashes[start : start + (1 << 12), None] ^ salts) * np.uint64(0xD6E8FEB86659FD93)
+        mixed = ((mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)) ^ (mixed >> np.uint64(29))
+        ones += np.unpackbits(mixed.astype(">u8").view(np.uint8), axis=1).sum(axis=0, dtype=np.int32)
+    return np.packbits(ones * 2 > len(hashes)).view(">i8").astype(np.int64)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``doc_id, fp`` for every row."""
 
