@@ -213,7 +213,13 @@ def account_costs(spark, sf_dir):
     return accounts.costs(_trades(spark, sf_dir), rate=0.0003, least=5.0, stamp=0.001, slippage=0.01).select("symbol", "seq", "commission", "stamp", "slippage", "cost")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_TRADES.replace("trades AS (", "trades AS MATERIALIZED (", 1)}, f(symbol, seq, net, average, realised) AS (SELECT symbol, 0::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM trades WHERE seq = 1
+      UNION ALL SELECT t.symbol, t.seq, f.net + t.side * t.volume, CASE WHEN f.net * t.side * t.volume >= 0 THEN CASE WHEN f.net <> 0 OR t.volume <> 0 THEN (f.average * abs(f.net) + t.price * t.volume) / (abs(f.net) + t.volume) ELSE 0 END
+        WHEN t.volume > abs(f.net) THEN t.price WHEN t.volume = abs(f.net) THEN 0 ELSE f.average END, f.realised + CASE WHEN f.net * t.side * t.volume < 0 THEN least(abs(f.net), t.volume) * (t.price - f.average) * sign(f.net) ELSE 0 END
+      FROM f JOIN trades t ON t.symbol = f.symbol AND t.seq = f.seq + 1)
+    SELECT symbol, {_r('net', 'average', 'realised')} FROM f QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY seq DESC) = 1"""
+)
 def account_average_cost(spark, sf_dir):
     return accounts.average_cost(_trades(spark, sf_dir))
 
@@ -247,7 +253,14 @@ def backtest_dual_average(spark, sf_dir):
     return accounts.replay_targets(rows, 1_000_000.0, 0.0005).select("date", "symbol", F.col("position").cast("int").alias("position"), "pnl", "equity")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {duck.PANEL_L_OWN}, {_MA[0]}, k AS MATERIALIZED (SELECT date, symbol, open, close, CASE WHEN {_MA[2]['ready']} IS NOT NULL THEN {_MA[2]['target']} ELSE 0 END AS target, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i FROM {_MA[1]}),
+    f(symbol, date, i, position, cash, pending, prev) AS (SELECT symbol, NULL::DATE, 0::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE, NULL::DOUBLE, NULL::DOUBLE FROM k WHERE i = 1
+      UNION ALL SELECT symbol, date, i, CASE WHEN fills THEN pending ELSE position END, cash - CASE WHEN fills THEN (pending - position) * open + abs(pending - position) * open * 0.0005 ELSE 0 END, target, close FROM (
+        SELECT k.symbol, k.date, k.i, k.open, k.close, k.target::DOUBLE AS target, f.position, f.cash, f.pending, coalesce(f.pending <> f.position AND NOT coalesce((f.pending > f.position AND k.open >= f.prev * 1.5 - 1e-9) OR (f.pending < f.position AND k.open <= f.prev * 0.5 + 1e-9), false), false) AS fills
+        FROM f JOIN k ON k.symbol = f.symbol AND k.i = f.i + 1))
+    SELECT {_D}, symbol, position, {duck.rounded('1000000 + cash + position * prev')} AS equity FROM f WHERE i > 0"""
+)
 def backtest_fold(spark, sf_dir):
     rows = accounts.dual_average(panels.shipment_bars(spark, sf_dir), 5, 20)
     return accounts.replay_fold(rows, 1_000_000.0, 0.0005, limit=0.5)

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Later states of an order outrank earlier ones.
+# The states of an order; later ones outrank earlier ones.
 STATES = ("SUBMITTING", "NOT_TRADED", "PART_TRADED", "ALL_TRADED", "CANCELLED", "REJECTED")
 
 
@@ -26,28 +26,37 @@ def window_bars(ticks: DataFrame, size: str = "1 minute", late: str = "2 minutes
 def anchored_bars(ticks: DataFrame, seconds: int, late: str = "2 minutes") -> DataFrame:
     """Bars that start at the first tick ``seconds`` or more after the last start, from a state for each symbol.
 
-    A bar is given out when its successor starts. Ticks that come late but before the watermark are taken
-    in the order of their time within a batch; a tick older than the open bar adds to that bar.
+    A bar is given out when its successor starts, or when the watermark says that nothing more can come for it;
+    its state goes with it. Ticks that come late but before the watermark are taken in the order of their
+    time within a batch; one that is older than what the open bar has seen adds to its range and volume, and the
+    close stays that of the newest tick.
     """
-    out = "symbol string, start timestamp, open double, high double, low double, close double, volume double"
-    state = "start timestamp, open double, high double, low double, close double, volume double"
+    names = ["symbol", "start", "open", "high", "low", "close", "volume"]
+    out = "symbol string, start long, open double, high double, low double, close double, volume double"
+    state = "start long, open double, high double, low double, close double, volume double, newest long"
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
         bar = list(held.get) if held.exists else None
-        rows = pd.concat(list(parts)).sort_values(["ts", "seq"])
+        if held.hasTimedOut:
+            held.remove()
+            yield pd.DataFrame([[key[0], *bar[:6]]], columns=names)
+            return
+        rows = pd.concat(list(parts)).sort_values(["micros", "seq"])
         done = []
-        for ts, price, volume in zip(rows["ts"], rows["price"].tolist(), rows["volume"].tolist(), strict=True):
-            if bar is None or (ts - pd.Timestamp(bar[0])).total_seconds() >= seconds:
+        for at, price, volume in zip(rows["micros"].tolist(), rows["price"].tolist(), rows["volume"].tolist(), strict=True):
+            if bar is None or at - bar[0] >= seconds * 1_000_000:
                 if bar is not None:
-                    done.append([key[0], *bar])
-                bar = [ts, price, price, price, price, volume]
+                    done.append([key[0], *bar[:6]])
+                bar = [at, price, price, price, price, volume, at]
             else:
-                bar = [bar[0], bar[1], max(bar[2], price), min(bar[3], price), price, bar[5] + volume]
+                bar = [bar[0], bar[1], max(bar[2], price), min(bar[3], price), price if at >= bar[6] else bar[4], bar[5] + volume, max(at, bar[6])]
         held.update(tuple(bar))
-        yield pd.DataFrame(done, columns=["symbol", "start", "open", "high", "low", "close", "volume"])
+        held.setTimeoutTimestamp(max(bar[0] // 1000 + seconds * 1000, held.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(done, columns=names)
 
-    slim = ticks.withWatermark("ts", late).select("symbol", "ts", "seq", "price", "volume")
-    return slim.groupBy("symbol").applyInPandasWithState(run, out, state, "append", "NoTimeout")
+    slim = ticks.withWatermark("ts", late).select("symbol", "ts", F.unix_micros("ts").alias("micros"), "seq", "price", "volume")
+    made = slim.groupBy("symbol").applyInPandasWithState(run, out, state, "append", "EventTimeTimeout")
+    return made.withColumn("start", F.timestamp_micros("start"))
 
 
 def distinct_trades(trades: DataFrame, late: str = "10 minutes") -> DataFrame:
