@@ -109,7 +109,7 @@ def counter(path: str) -> TokenCounter:
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """``doc_id, n_words, n_tokens`` for every row: words, and greedy longest-match pieces of them all.
 
-    Pieces with the word-end mark match only at the end of a word. Null and empty texts have none.
+    Pieces with the word-end mark match only at the end of a word. Null and empty texts have none; very long ones are counted whole.
     Repeated rows are counted each; an empty table gives an empty result; other columns are not looked at.
     The vocabulary file is read in each worker from ``path``.
     """
