@@ -24,7 +24,7 @@ from .common import per_text
 #: Stands for the end of a word inside the automaton; no byte maps to it.
 END = "￿"
 #: Words that a worker remembers before it starts anew.
-REMEMBERED = 100_000
+REMEMBERED = 40_000
 
 
 def byte_letters() -> list[str]:
