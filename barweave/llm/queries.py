@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html, langid, minhash, pii, quality, secrets, simhash, wordpiece
+from . import bpe, decontaminate, html, langid, merkle, minhash, pii, quality, secrets, simhash, wordpiece
 from .common import read, shared_folder
 
 QUERIES: dict = {}
@@ -71,3 +71,42 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_wordpiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.count_tokens(read(spark, sf_dir, "documents"))
+
+
+@query
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest of all documents; n_chars of every seventh or so (by a hash of its id) is tampered with."""
+    docs = read(spark, sf_dir, "documents")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(1)).otherwise(0)
+    return merkle.proofs(docs, {"n_chars": F.col("n_chars") + tampered})
+
+
+def _field(name: str) -> str:
+    return f"coalesce(octet_length(encode({name}::VARCHAR))::VARCHAR || ':' || {name}::VARCHAR, '-')"
+
+
+# crc32 of a decimal number, bit by bit, as the engine has none.
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+  lambda c, b: list_reduce(list_concat([xor(c, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda y, z: xor(y >> 1, 3988292384::BIGINT * (y & 1)))), 4294967295::BIGINT)"""
+
+ORACLE_SQL["op12_merkle"] = f"""WITH RECURSIVE
+l AS (SELECT doc_id, lang, sha256({' || '.join(_field(c) for c in merkle.FIELDS)}) AS leaf,
+  sha256({' || '.join(_field('(n_chars + 1)' if c == 'n_chars' else c) for c in merkle.FIELDS)}) AS other, coalesce({_CRC} % 7 = 0, false) AS changed FROM documents),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM l),
+low AS (SELECT lang, 0 AS level, pos, leaf AS digest, count(*) OVER (PARTITION BY lang) AS n FROM leaves
+  UNION ALL SELECT lang, level, pos, digest, count(*) OVER (PARTITION BY lang) FROM (SELECT lang, level + 1 AS level, pos // 2 AS pos, sha256(string_agg(digest, '' ORDER BY pos)) AS digest FROM low WHERE n > 1 GROUP BY lang, level, pos // 2)),
+subs AS (SELECT lang, digest AS subroot, level AS height, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place FROM low WHERE n = 1),
+high AS (SELECT 0 AS level, place AS pos, subroot AS digest, count(*) OVER () AS n FROM subs
+  UNION ALL SELECT level, pos, digest, count(*) OVER () FROM (SELECT level + 1 AS level, pos // 2 AS pos, sha256(string_agg(digest, '' ORDER BY pos)) AS digest FROM high WHERE n > 1 GROUP BY level, pos // 2)),
+links AS (SELECT lang, level, pos, digest, n FROM low WHERE n > 1 UNION ALL SELECT s.lang, s.height + h.level, h.pos, h.digest, h.n FROM high h, subs s WHERE h.n > 1),
+path AS (SELECT a.leaf, a.lang, a.pos, k.level, CASE WHEN k.level < s.height THEN a.pos >> k.level ELSE s.place >> (k.level - s.height) END AS own
+  FROM leaves a JOIN subs s ON a.lang IS NOT DISTINCT FROM s.lang JOIN (SELECT DISTINCT lang, level FROM links) k ON k.lang IS NOT DISTINCT FROM a.lang),
+beside AS (SELECT p.lang, p.pos, p.level, p.own % 2 AS odd, coalesce(b.digest, '') AS digest FROM path p LEFT JOIN links b ON b.lang IS NOT DISTINCT FROM p.lang AND b.level = p.level AND b.pos = xor(p.own, 1)),
+proof AS (SELECT lang, pos, sha256(string_agg(digest, '' ORDER BY level)) AS proof_sha256 FROM beside GROUP BY lang, pos),
+fold AS (SELECT lang, pos, 0 AS level, CASE WHEN changed THEN other ELSE leaf END AS h FROM leaves
+  UNION ALL SELECT f.lang, f.pos, f.level + 1, sha256(CASE WHEN b.odd = 1 THEN b.digest || f.h ELSE f.h || b.digest END) FROM fold f JOIN beside b ON b.lang IS NOT DISTINCT FROM f.lang AND b.pos = f.pos AND b.level = f.level),
+ends AS (SELECT lang, pos, arg_max(h, level) AS folded_root FROM fold GROUP BY lang, pos),
+root AS (SELECT digest AS root FROM high WHERE n = 1)
+SELECT a.doc_id, a.leaf, s.subroot, r.root, coalesce(p.proof_sha256, sha256('')) AS proof_sha256, e.folded_root, e.folded_root = r.root AS verified
+FROM leaves a JOIN subs s ON a.lang IS NOT DISTINCT FROM s.lang JOIN ends e ON e.lang IS NOT DISTINCT FROM a.lang AND e.pos = a.pos
+LEFT JOIN proof p ON p.lang IS NOT DISTINCT FROM a.lang AND p.pos = a.pos, root r"""
