@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html, langid, merkle, minhash, pii, quality, secrets, simhash, wordpiece
+from . import bpe, decontaminate, hardneg, html, langid, merkle, minhash, pii, quality, secrets, simhash, wordpiece
 from .common import read, shared_folder
 
 QUERIES: dict = {}
@@ -110,3 +110,20 @@ root AS (SELECT digest AS root FROM high WHERE n = 1)
 SELECT a.doc_id, a.leaf, s.subroot, r.root, coalesce(p.proof_sha256, sha256('')) AS proof_sha256, e.folded_root, e.folded_root = r.root AS verified
 FROM leaves a JOIN subs s ON a.lang IS NOT DISTINCT FROM s.lang JOIN ends e ON e.lang IS NOT DISTINCT FROM a.lang AND e.pos = a.pos
 LEFT JOIN proof p ON p.lang IS NOT DISTINCT FROM a.lang AND p.pos = a.pos, root r"""
+
+
+@query
+def op11_hardneg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth vector is an anchor; the label of every seventh is moved on by one first."""
+    rows = read(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+ORACLE_SQL["op11_hardneg"] = """WITH e AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS id, list_inner_product(a.v, b.v)::BIGINT AS score FROM e a, e b WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM s WHERE same AND id <> anchor_id QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT anchor_id, p.id AS positive_id, (row_number() OVER (PARTITION BY anchor_id, p.id ORDER BY s.score DESC, s.id))::INT AS rank, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+  FROM p JOIN s USING (anchor_id) WHERE NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT * FROM n WHERE rank <= 10"""
