@@ -197,10 +197,11 @@ def proofs(docs: DataFrame, changed: dict[str, Column], fields: tuple[str, ...]
     leaves = docs.select(F.col(order).alias("id_"), F.col(group).alias("in_"), leaf_of(own).alias("leaf"), F.when(differs, other).alias("changed_"))
     manifest = build(leaves, "in_", ["id_"], ["id_", "changed_"])
     start = manifest.lowest.withColumn("hash", F.coalesce("changed_", "digest"))
-    folded = written(climb(manifest, start), "climb")
+    folded = climb(manifest, start).select("row_", "folded", F.sha2(F.lower(F.hex("proof")).cast("binary"), 256).alias("proof_sha256"))
+    folded = written(folded, "climb")
     rows = manifest.lowest.select("row_", "tree", F.col("id_").alias(order), F.col("digest").alias("leaf"))
-    out = rows.join(manifest.trees, "tree").join(folded, "row_")
-    root, proof = F.lit(manifest.root), F.sha2(F.lower(F.hex("proof")).cast("binary"), 256)
-    out = out.select(order, "leaf", "subroot", root.alias("root"), proof.alias("proof_sha256"), F.col("folded").alias("folded_root"), (F.col("folded") == root).alias("verified"))
+    out = rows.join(manifest.trees, "tree").join(folded.hint("merge"), "row_")
+    root = F.lit(manifest.root)
+    out = out.select(order, "leaf", "subroot", root.alias("root"), "proof_sha256", F.col("folded").alias("folded_root"), (F.col("folded") == root).alias("verified"))
     drop_written(docs.sparkSession, manifest.upper)
     return out
