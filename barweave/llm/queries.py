@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, hardneg, html, langid, merkle, minhash, pii, quality, secrets, simhash, wordpiece
+from . import bpe, decontaminate, hardneg, html, langid, lm, merkle, minhash, pii, quality, secrets, simhash, wordpiece
 from .common import read, shared_folder
 
 QUERIES: dict = {}
@@ -81,6 +81,11 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.proofs(docs, {"n_chars": F.col("n_chars") + tampered})
 
 
+@query
+def op13_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.learn_and_score(read(spark, sf_dir, "documents"))
+
+
 def _field(name: str) -> str:
     return f"coalesce(octet_length(encode({name}::VARCHAR))::VARCHAR || ':' || {name}::VARCHAR, '-')"
 
