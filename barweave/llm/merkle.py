@@ -4,7 +4,7 @@ Nodes are stored ``RUNG`` levels at a time. The ``2 ** RUNG`` consecutive nodes
 group, whose levels are hashed by array functions; of each node a row is kept with a link to that ancestor and with
 the siblings on the way up to it. A proof is a climb along these rows: a recursive query starts from a hash for each
 leaf (its own, or that of a changed row), follows the links, appends siblings and folds the hash, all leaves at once.
-Wide rungs keep the climb at a sixth of the tree's height, so a proof is shuffled a few times only.
+Wide rungs keep the climb at a ninth of the tree's height, so a proof is shuffled a few times only.
 
 Leaves are numbered without a task of their own for a group: rows are dealt by range of (group, order, leaf), and a
 row's place is its place in the part plus the rows of its group in the parts before.
@@ -23,7 +23,7 @@ from .common import drop_written, written
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 #: Levels from a stored node to the ancestor that it links to, and the name of the tree over all groups' roots.
-RUNG, TOP = 6, ""
+RUNG, TOP = 9, ""
 
 
 def field(value: Column) -> Column:
@@ -129,16 +129,22 @@ def build(leaves: DataFrame, group: str, order: list[str], carried: list[str]) -
     top = written(numbered(written(ends, "ends"), "top", ["group_"]).withColumnRenamed("top", "tree"), "top")
     above = _built(top, ["below"])
     root = above[-1].where("last").select("digest").first()
-    # A tree's last rung links to its root's place in the tree over all groups; that one's last rung links nowhere.
-    link = top.select(F.col("below").alias("tree"), F.col("at").alias("top_at"))
+    # A tree's last rung goes on into the lowest rung of the tree over all groups: its siblings, and its link.
+    link = above[0].select(F.col("up").alias("top_up"), F.col("last").alias("top_last"), F.inline("members")).select(F.col("below").alias("tree"), "top_up", "top_last", F.col("siblings").alias("top_siblings"))
+    ends = F.col("last")
+    target = {
+        "up_tree": F.when(~ends, F.col("tree")).when(~F.col("top_last"), F.lit(TOP)),
+        "up_rung": F.when(~ends, F.col("rung") + 1).when(~F.col("top_last"), F.lit(1)),
+        "up_at": F.when(~ends, F.col("up")).when(~F.col("top_last"), F.col("top_up")),
+    }
     nodes = []
     for k, rung in enumerate(rungs):
-        linked = rung.join(link, "tree").select("tree", F.lit(k).alias("rung"), "up", "last", "top_at", "members")
-        out = F.when(F.col("last"), F.lit(TOP)).otherwise(F.col("tree")), F.when(F.col("last"), 0).otherwise(k + 1), F.when(F.col("last"), F.col("top_at")).otherwise(F.col("up"))
-        nodes.append(linked.select("tree", "rung", *(c.alias(a) for c, a in zip(out, ("up_tree", "up_rung", "up_at"), strict=True)), F.inline("members")))
+        linked = rung.join(link, "tree").withColumn("rung", F.lit(k)).withColumns(target)
+        row = linked.select("tree", "rung", "last", "top_siblings", *target, F.inline("members"))
+        nodes.append(row.withColumn("siblings", F.when(ends, F.concat("siblings", "top_siblings")).otherwise(F.col("siblings"))).drop("last", "top_siblings"))
     for k, rung in enumerate(above):
-        out = F.when(~F.col("last"), F.lit(TOP)), F.lit(k + 1), F.col("up")
-        nodes.append(rung.select("tree", F.lit(k).alias("rung"), *(c.alias(a) for c, a in zip(out, ("up_tree", "up_rung", "up_at"), strict=True)), F.inline("members")))
+        out = F.when(~ends, F.lit(TOP)), F.lit(k + 1), F.col("up")
+        nodes.append(rung.select("tree", F.lit(k).alias("rung"), *(c.alias(a) for c, a in zip(out, target, strict=True)), F.inline("members")))
     keep = ["tree", "rung", "at", "up_tree", "up_rung", "up_at", "siblings"]
     upper = written(_union([n.select(*keep) for n in nodes[1:]]), "nodes")
     trees = top.select(F.col("below").alias("tree"), F.col("digest").alias("subroot"))

@@ -69,7 +69,7 @@ def rows_of(n, langs):
     return [{"doc_id": i * 7 % n, "source": None if i % 5 == 0 else f"s{i % 3}", "lang": langs[i % len(langs)], "n_chars": None if i % 11 == 0 else i, "text": f"t {i} \u00e9" if i % 13 else None} for i in range(n)]
 
 
-@pytest.mark.parametrize("n, langs", [(1, ["en"]), (2, ["en"]), (3, [None]), (64, ["en"]), (65, ["en"]), (129, ["en", "en", "de"]), (700, ["en"] * 6 + ["de", None, "fr"]), (4200, ["en"] * 60 + ["x"])])
+@pytest.mark.parametrize("n, langs", [(1, ["en"]), (2, ["en"]), (3, [None]), (64, ["en"]), (65, ["en"]), (129, ["en", "en", "de"]), (700, ["en"] * 6 + ["de", None, "fr"]), (4200, ["en"] * 60 + ["x"]), (1300, [f"l{i}" for i in range(650)])])
 def test_proofs_by_hand(spark, n, langs):
     rows = rows_of(n, langs)
     got = run(spark.createDataFrame([tuple(r[k] for k in FIELDS) for r in rows], NAMES))
