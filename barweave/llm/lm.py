@@ -167,19 +167,19 @@ class Model:
             out[some] = np.einsum("ij,ij->i", one[a] + two[b], p["q"][t]) + p["b"][t] - self.normaliser[a, b]
         return out
 
-    def encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]], np.ndarray]:
-        """Places (-1: not known) and targets of all tokens of all texts, the tokens, and the number of each text's."""
+    def encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        """Places (-1: not known) and targets of all tokens of all texts, the tokens of each text; of each unknown one its text and itself."""
         tokens = [words(t) for t in texts]
         get = self.places.get
         place = np.array([get(w, -1) for t in tokens for w in t], np.int32)
         n = np.array([len(t) for t in tokens], np.int64)
         target = self.targets[place] if len(self.known) else np.zeros(len(place), np.int32)
         rare = np.flatnonzero(place < 0)
-        if len(rare):
-            first = np.concatenate([[0], np.cumsum(n)])
-            text = np.searchsorted(first, rare, "right") - 1
-            target[rare] = [WORDS + class_of(tokens[t][i]) for t, i in zip(text.tolist(), (rare - first[text]).tolist(), strict=True)]
-        return place, target, tokens, n
+        first = np.concatenate([[0], np.cumsum(n)])
+        text = np.searchsorted(first, rare, "right") - 1
+        unknown = [tokens[t][i] for t, i in zip(text.tolist(), (rare - first[text]).tolist(), strict=True)]
+        target[rare] = [WORDS + class_of(w) for w in unknown]
+        return place, target, n, text, unknown
 
 
 def contexts(target: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -290,7 +290,7 @@ def _round(docs: DataFrame, model: Model, squares: dict[str, np.ndarray], k: int
         steps = Steps(model.params, squares, model.share, (k, task.partitionId() if task else 0))
         for batch in batches:
             for texts in _pieces(batch.column(0).to_pylist()):
-                _, target, _, n = model.encoded(texts)
+                _, target, n, _, _ = model.encoded(texts)
                 last, before = contexts(target, n)
                 steps.learn(last, before, target)
         if steps.tokens:
@@ -353,7 +353,7 @@ def _scored(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
         for batch in batches:
             at = 0
             for texts in _pieces(batch.column(1).to_pylist()):
-                place, target, tokens, n = model.encoded(texts)
+                place, target, n, text, unknown = model.encoded(texts)
                 last, before = contexts(target, n)
                 first = np.concatenate([[0], np.cumsum(n)[:-1]])
                 of_base, of_model = np.zeros(len(place)), model.log_probability(last, before, target) / np.log(10)
@@ -361,12 +361,13 @@ def _scored(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
                 of_base[seen] = base[place[seen]]
                 of_model[seen] += inner[place[seen]]
                 of_model[~seen] -= class_log[target[~seen] - WORDS]
-                rare = [list(Counter(w for w, i in zip(t, place[a : a + len(t)].tolist(), strict=True) if i < 0).items()) for t, a in zip(tokens, first.tolist(), strict=True)]
-                kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
+                rare = Counter(zip(text.tolist(), unknown, strict=True))
+                ends = np.concatenate([[0], np.cumsum(np.bincount(np.array([t for t, _ in rare], np.int64), minlength=len(texts)))])
+                pairs = pa.StructArray.from_arrays([pa.array([w for _, w in rare], pa.binary()), pa.array(list(rare.values()), pa.int32())], ["word", "n"])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(at, len(texts)), pa.array(n), pa.array(np.add.reduceat(seen.astype(np.int64), first)),
-                        pa.array(np.add.reduceat(of_base, first)), pa.array(np.add.reduceat(of_model, first)), pa.array([[{"word": w, "n": c} for w, c in r] for r in rare], kind),
+                        pa.array(np.add.reduceat(of_base, first)), pa.array(np.add.reduceat(of_model, first)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs),
                     ],
                     ["doc_id", "n_tokens", "n_seen", "base", "model", "rare"],
                 )
