@@ -29,6 +29,8 @@ class _Average:
         self.net = self.average = self.realised = 0.0
 
     def row(self, side, volume, price):
+        if None in (side, volume, price):
+            return ()
         change, net = side * volume, self.net
         if net * change >= 0:
             self.average = (self.average * abs(net) + price * volume) / (abs(net) + volume) if net or volume else 0.0
@@ -49,7 +51,8 @@ class _Average:
 def average_cost(trades: DataFrame) -> DataFrame:
     """``symbol, net, average, realised``: the average price of the open position and the profit taken so far.
 
-    The average after a trade depends on the one before, so a symbol's trades are folded in order of ``seq``.
+    The average after a trade depends on the one before, so a symbol's trades are folded in order of ``seq``. Trades
+    without a side, volume or price count for nothing.
     """
     return folded(trades, "symbol", ["seq"], ["side", "volume", "price"], _Average, "symbol string, net double, average double, realised double")
 
@@ -62,6 +65,8 @@ class _Pairs:
         self.profit = 0.0
 
     def row(self, side, volume, price):
+        if None in (side, volume, price):
+            return ()
         stack = self.stack
         while volume > 1e-12 and stack and stack[-1][0] * side < 0:
             top = stack[-1]
@@ -81,7 +86,7 @@ class _Pairs:
 
 
 def paired_profit(trades: DataFrame) -> DataFrame:
-    """``symbol, pairs, wins, profit``: opposite trades paired last in, first out, residuals staying open."""
+    """``symbol, pairs, wins, profit``: opposite trades paired last in, first out, residuals staying open; trades without a side, volume or price are none."""
     return folded(trades, "symbol", ["seq"], ["side", "volume", "price"], _Pairs, "symbol string, pairs long, wins long, profit double")
 
 
@@ -146,6 +151,8 @@ class _Replay:
         self.prev = self.pending = None
 
     def row(self, date, open_, close, target):
+        if open_ is None or close is None:  # no trading: the order waits, the position keeps its last close
+            return [(date, self.symbol, self.position, self.capital + self.cash + self.position * (self.prev or 0.0))]
         if self.pending is not None and self.pending != self.position:
             change, prev = self.pending - self.position, self.prev
             blocked = prev is not None and ((change > 0 and open_ >= prev * (1 + self.limit) - 1e-9) or (change < 0 and open_ <= prev * (1 - self.limit) + 1e-9))
@@ -160,6 +167,6 @@ class _Replay:
 
 
 def replay_fold(panel: DataFrame, capital: float, cost: float, limit: float = 0.1) -> DataFrame:
-    """As :func:`replay_targets`, but an order stays pending while the open is at its price limit, so bars are folded in order."""
+    """As :func:`replay_targets`, but an order stays pending while the open is at its price limit, or missing, so bars are folded in order."""
     schema = "date date, symbol string, position double, equity double"
     return folded(panel, "symbol", ["date"], ["date", "open", "close", "target"], lambda symbol: _Replay(symbol, capital, cost, limit), schema)

@@ -168,6 +168,94 @@ def test_orders_of_one_bar_wait_for_the_next(spark):
     assert sorted((r.date, r.side * r.volume, r.forced) for r in dealt) == [(START + datetime.timedelta(1), -30.0, False), (START + datetime.timedelta(1), 100.0, False), (START + datetime.timedelta(2), -70.0, True)]
 
 
+def by_units(rows, rules_of, capital):
+    """Cash after each date, with every single unit of volume kept by itself; orders are whole signed volumes."""
+    cash, units, average, waiting, closes, out, today_closed = capital, {}, {}, {}, {}, {}, {}
+    days = sorted({r[1] for r in rows})
+
+    def deal(symbol, volume, price, day):
+        nonlocal cash
+        rules, mine = rules_of(symbol), units.setdefault(symbol, [])
+        side, fresh, n_opened, spent = (1 if volume > 0 else -1), 0, 0, 0.0
+        for _ in range(abs(volume)):
+            if mine and mine[0][0] == -side:
+                _, opened = mine.pop(0)
+                fresh += opened == day
+                cash += (price - average[symbol]) * -side * rules.size
+            else:
+                if not mine:
+                    average[symbol] = 0.0
+                average[symbol] = (average[symbol] * len(mine) + price) / (len(mine) + 1)
+                mine.append((side, day))
+        value = price * rules.size
+        today = rules.rate if rules.today_rate is None else rules.today_rate
+        fee = max(value * (fresh * today + (abs(volume) - fresh) * rules.rate) + rules.per_lot * abs(volume), rules.least)
+        cash -= fee + value * abs(volume) * (rules.impact + (rules.stamp if side < 0 else 0))
+        today_closed[day, symbol] = today_closed.get((day, symbol), 0) + fresh
+
+    for day in days:
+        for _, _, symbol, open_, close, volume, price in sorted((r for r in rows if r[1] == day), key=lambda r: r[2]):
+            for order in waiting.pop(symbol, []):
+                deal(symbol, order, open_ * (1 + rules_of(symbol).slip * (1 if order > 0 else -1)), day)
+            closes[symbol] = close
+            limit = rules_of(symbol).limit
+            if volume and not (limit and price is not None and not close * (1 - limit) <= price <= close * (1 + limit)):
+                waiting.setdefault(symbol, []).append(volume)
+        if day == days[-1]:
+            for symbol in sorted(closes):
+                held = units.get(symbol, [])
+                if held:
+                    deal(symbol, -held[0][0] * len(held), closes[symbol], day)
+        gains = sum((closes[s] - average[s]) * side * rules_of(s).size for s, mine in units.items() for side, _ in mine)
+        out[day] = (cash, cash + gains)
+    return out, today_closed
+
+
+def test_futures_and_shares_in_one_account(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(40):
+        for symbol, level in (("future", 4000.0), ("share", 12.0)):
+            open_ = level * (1 + rng.uniform(-0.03, 0.03))
+            close = open_ * (1 + rng.uniform(-0.02, 0.02))
+            volume = rng.choice([0, 0, 3, -2, 5, -6, 1])
+            price = None if rng.random() < 0.5 else close * (1 + rng.uniform(-0.2, 0.2))
+            rows.append(("a", START + datetime.timedelta(i), symbol, open_, close, volume, price))
+    rules = {"future": backtest.Rules(size=10.0, rate=2e-4, today_rate=6e-4, per_lot=1.5, slip=1e-4, margin=0.1), "share": backtest.Rules(limit=0.1, rate=3e-4, least=5.0, stamp=1e-3, impact=2e-4)}
+    df = spark.createDataFrame([(*r[:5], float(r[5]) or None, r[6]) for r in rows], "account string, date date, symbol string, open double, close double, volume double, price double")
+    # Opens jump by less than the limit, so only prices are ruled out.
+    run = backtest.accounts(df, backtest.Rules(), 1e6, rules)
+    want, closed_today = by_units(rows, rules.__getitem__, 1e6)
+    got = {r.date: (r.cash, r.equity) for r in run.collect()}
+    assert set(got) == set(want)
+    for day, values in want.items():
+        assert got[day] == pytest.approx(values, rel=1e-12)
+    assert sum(r.refused for r in run.collect()) > 0
+    fresh = {}
+    for r in backtest.trades(run).collect():
+        fresh[r.date, r.symbol] = fresh.get((r.date, r.symbol), 0) + r.closed_today
+    assert {k: v for k, v in fresh.items() if v} == {k: v for k, v in closed_today.items() if v}
+
+
+def test_what_opened_today_closes_last(spark):
+    bars = [("x", START + datetime.timedelta(i), "s", 10.0, 10.0, v) for i, v in ((0, 5.0), (1, 4.0), (1, -7.0), (2, None), (3, None))]
+    df = spark.createDataFrame(bars, "account string, date date, symbol string, open double, close double, volume double")
+    dealt = backtest.trades(backtest.accounts(df)).collect()
+    # Five are held from the day before when four are bought and seven sold (sells come first here): none of today's.
+    assert [(r.side * r.volume, r.closed_today) for r in sorted(dealt, key=lambda r: (r.date, r.side))] == [(5.0, 0.0), (-7.0, 0.0), (4.0, 2.0), (-2.0, 0.0)]
+
+
+def test_folds_pass_over_missing_values(spark):
+    trades = spark.createDataFrame([("s", 1, 1, 10.0, 5.0), ("s", 2, None, 3.0, 5.0), ("s", 3, -1, None, 6.0), ("s", 4, -1, 4.0, None), ("s", 5, -1, 4.0, 7.0)], "symbol string, seq int, side int, volume double, price double")
+    r = accounts.average_cost(trades).first()
+    assert (r.net, r.average, r.realised) == (6.0, 5.0, 8.0)
+    p = accounts.paired_profit(trades).first()
+    assert (p.pairs, p.wins, p.profit) == (1, 1, 8.0)
+    rows = [(START + datetime.timedelta(i), "s", o, c, t) for i, (o, c, t) in enumerate([(10.0, 10.0, 1.0), (None, None, 1.0), (10.4, 10.5, None), (None, 9.0, 0.0), (9.2, 9.0, 0.0)])]
+    got = accounts.replay_fold(spark.createDataFrame(rows, "date date, symbol string, open double, close double, target double"), 100.0, 0.0).orderBy("date").collect()
+    assert [r.position for r in got] == [0, 0, 1, 1, 1] and [round(r.equity, 9) for r in got] == [100, 100, 100.1, 100.1, 98.6]
+
+
 def test_split_borrows_bars_for_warm_up(spark):
     df = spark.createDataFrame(panel(50), "account string, date date, symbol string, open double, close double, target double")
     inside, outside = backtest.split_with_warm_up(df, 0.7, 10)
