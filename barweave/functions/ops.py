@@ -34,13 +34,22 @@ TIES = tuple((float(f"1e{at}"), at - 11) for at in range(-25, 27, 3))
 
 
 def steady(x: Column) -> Column:
-    """``x`` rounded to nine to eleven digits, so that ranks do not depend on the last bits of a sum, however small it is."""
-    out = x
-    for bound, power in reversed(TIES):
+    """``x`` rounded to nine to eleven digits, so that ranks do not depend on the last bits of a sum, however small it is.
+
+    The input is computed once (it may be a window of windows), and its size is found by halving the bounds.
+    """
+    def rounded(v: Column, power: int) -> Column:
         scale = F.lit(float(f"1e{abs(power)}"))
-        near = F.rint(x / scale) * scale if power >= 0 else F.rint(x * scale) / scale
-        out = F.when(F.abs(x) < bound, near).otherwise(out)
-    return F.when(x == 0, F.lit(0.0)).otherwise(out)
+        return F.rint(v / scale) * scale if power >= 0 else F.rint(v * scale) / scale
+
+    def among(v: Column, low: int, high: int) -> Column:
+        """For a value that is not below the bounds before ``low``; ``high`` bounds are all there are."""
+        if low == high:
+            return rounded(v, TIES[low][1]) if low < len(TIES) else v
+        middle = (low + high) // 2
+        return F.when(F.abs(v) < TIES[middle][0], among(v, low, middle)).otherwise(among(v, middle + 1, high))
+
+    return let(x, lambda v: F.when(v == 0, F.lit(0.0)).otherwise(among(v, 0, len(TIES))))
 
 
 def trailing(n: int) -> W:
