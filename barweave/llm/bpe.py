@@ -23,7 +23,7 @@ from .common import per_text
 
 #: Stands for the end of a word inside the automaton; no byte maps to it.
 END = "￿"
-#: Words that a worker remembers before it starts anew.
+#: Words of a generation that a worker remembers: the one before is kept, and what is used again moves on.
 REMEMBERED = 40_000
 
 
@@ -77,6 +77,7 @@ class WordBpe:
         automaton.make_automaton()
         self._suffixes = automaton.iter
         self._known: dict[str, tuple[str, str, int]] = {}
+        self._older: dict[str, tuple[str, str, int]] = {}
 
     def fits(self, left: int, right: int) -> bool:
         """Whether merging leaves ``left`` and ``right`` side by side as they are."""
@@ -123,22 +124,29 @@ class WordBpe:
         return ids[::-1]
 
     def _remember(self, word: str) -> tuple[str, str, int]:
+        """What is not in this generation: from the one before, or worked out."""
+        if len(self._known) >= REMEMBERED:
+            self._older, self._known = self._known, {}
+        found = self._older.get(word)
+        if found is None:
+            found = self._worked_out(word)
+        self._known[word] = found
+        return found
+
+    def _worked_out(self, word: str) -> tuple[str, str, int]:
         mapped = word if word.isascii() else "".join(map(self._letters.__getitem__, word.encode("utf-8")))
         if not mapped.isprintable():
             mapped = "".join(map(self._letters.__getitem__, word.encode("utf-8")))
         ids = self.word(mapped)
-        if len(self._known) >= REMEMBERED:
-            self._known.clear()
         names = self.names
-        found = self._known[word] = " ".join(map(str, ids)), " ".join([names[i] for i in ids]), len(ids)
-        return found
+        return " ".join(map(str, ids)), " ".join([names[i] for i in ids]), len(ids)
 
     def _pieces(self, text: str) -> list[tuple[str, str, int]]:
         if not text.isascii():
             # Lower-casing goes letter by letter, so a final sigma is like any other.
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        known, remember = self._known, self._remember
-        return [known.get(w) or remember(w) for w in self._words(text.lower())]
+        remember = self._remember
+        return [self._known.get(w) or remember(w) for w in self._words(text.lower())]
 
     def encode_parts(self, text: str) -> tuple[int, str, str]:
         """Number of ids; the ids in decimal and the decoded tokens, each joined by a space."""

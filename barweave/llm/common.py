@@ -97,6 +97,19 @@ def _small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, "1000")
 
 
+def _give_back() -> None:
+    """A worker that has done its part returns memory that it has freed, as it stays for the stages that follow."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another libc: nothing to ask for
+        return
+
+
 def kind_of(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
 
@@ -117,6 +130,7 @@ def per_text(docs: DataFrame, make, made: str, id_col: str = "doc_id", text_col:
 
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), *make(batch.column(1).to_pylist())], names)
+        _give_back()
 
     return rows.mapInArrow(run, schema)
 
@@ -135,6 +149,7 @@ def filtered(docs: DataFrame, keep, text_col: str = "text") -> DataFrame:
 
         for batch in batches:
             yield batch.filter(pa.array(keep([t or "" for t in batch.column(at).to_pylist()]), pa.bool_()))
+        _give_back()
 
     return docs.mapInArrow(run, row_schema(docs))
 
@@ -150,5 +165,6 @@ def extended(docs: DataFrame, make, name: str, kind: str, text_col: str = "text"
         for batch in batches:
             new = make([t or "" for t in batch.column(at).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, new], [*batch.schema.names, name])
+        _give_back()
 
     return docs.mapInArrow(run, f"{row_schema(docs)}, `{name}` {kind}")

@@ -8,7 +8,8 @@ comments) are out, and where a page marks its article, only that is looked at.
 
 Some of those places have elements or roles of their own; others only names in a class or id. A name counts
 by the whole token it stands in ("has-sidebar" is a state, no sidebar), and an element that it would put
-out stays if it holds a title or an article and more than half of the page's good text.
+out stays if it holds more than half of the page's good text, and a title or an article. Forms, and names that are only part of a token, need
+no title where the page marks no article elsewhere.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 RAW_TAGS = frozenset("script style title textarea noframes xmp".split())
 #: Shown otherwise than as text, or not at all: left out as far as their end tag, if they have one.
 SKIPPED_TAGS = frozenset("noscript template select button svg iframe object audio video canvas datalist annotation annotation-xml".split())
-OUT_TAGS = frozenset("nav footer aside form dialog menu search".split())
-OUT_ROLES = frozenset("navigation complementary contentinfo search form dialog alertdialog alert menu menubar toolbar".split())
+OUT_TAGS = frozenset("nav footer aside dialog menu search".split())
+OUT_ROLES = frozenset("navigation complementary contentinfo search dialog alertdialog alert menu menubar toolbar".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Names in class or id of what is not the article; those of readers' comments.
 OUT_NAMES = frozenset(
@@ -40,6 +41,8 @@ OUT_NAMES = frozenset(
 COMMENT_NAMES = frozenset("comment comments commentlist disqus discussion respond replies reply".split())
 #: An article or main element is put out only by one of these as a whole token.
 ARTICLE_OUT = frozenset("ad ads advert advertisement comment reply teaser related widget".split())
+#: Names of what may well be the article, beside which a name of the above is a detail ("post tags").
+ARTICLE_NAMES = frozenset("article post entry story content main page body".split())
 #: A token says something about a state, a topic or a layout, not what it stands on, if one of these comes first, or last, or anywhere.
 STATE_FIRST = frozenset("has with without no not is show hide js tag category cat type format status topic".split())
 STATE_LAST = frozenset("open closed enabled disabled active inactive allowed on off visible".split())
@@ -53,8 +56,8 @@ STOP_WORDS = {
 }
 _STOPS = frozenset(w for words in STOP_WORDS.values() for w in words.split())
 
-#: Characters of a short and of a long block; shares of stop words and of link text.
-SHORT, LONG, STOPS_LOW, STOPS_HIGH, LINKS = 60, 180, 0.12, 0.25, 0.4
+#: Characters of a short and of a long block; shares of stop words and of link text, and what is as good as all link.
+SHORT, LONG, STOPS_LOW, STOPS_HIGH, LINKS, LINKED = 60, 180, 0.12, 0.25, 0.4, 0.9
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([^\s=\"'/>]+)")
@@ -71,6 +74,7 @@ class Block:
     main: bool
     heading: bool
     named: tuple[int, ...] = ()  # the elements around it that a name puts out
+    lead: bool = False  # in the article's own header, and no heading
     label: int = 0  # 1 good, -1 bad, 0 undecided
 
 
@@ -125,11 +129,17 @@ def _words(token: str) -> list[str]:
 
 
 class _Page:
-    """What names put out on one page: the kind of name, and whether a title or article stands inside."""
+    """What names put out on one page: the kind of name, whether a title or article stands inside, and whether the name is a vague one.
+
+    A form is vague, as some pages are one form as a whole; so is a name that is part of a longer token (a page builder's
+    "x-widget") or stands beside a name of the article. Vague names that most of the good text stands under tell nothing on this page. ``marked``: an article is marked outside all of these.
+    """
 
     def __init__(self) -> None:
         self.comments: list[bool] = []
         self.holds: list[bool] = []
+        self.vague: list[frozenset[str]] = []
+        self.marked = False
 
     def enter(self, tag: str, raw: str, top: _Open) -> _Open:
         """What opening this element makes of the place: out, in the article, or a header that lends its headings only."""
@@ -147,13 +157,19 @@ class _Page:
                 hits = ARTICLE_OUT.intersection(t.lower() for t in tokens)
             else:
                 hits = {w for ws in words for w in ws if w in OUT_NAMES or w in COMMENT_NAMES}
-            if hits:
+            form = tag == "form" or role == "form"
+            if hits or form:
                 named = (*named, len(self.holds))
                 self.comments.append(bool(hits & COMMENT_NAMES))
                 self.holds.append(False)
+                plain = any(len(ws) == 1 and ws[0] in hits for ws in words) and not any(t.lower() in ARTICLE_NAMES for t in tokens)
+                # A form speaks for itself alone, a name for all that bear it.
+                self.vague.append(frozenset() if plain else frozenset(hits | ({f"form {len(self.vague)}"} if form else set())))
         if main or tag == "h1":
             for i in named:
                 self.holds[i] = True
+        if main and not out and not top.out and not named:
+            self.marked = True
         heads = not whole and not main and (tag == "header" or role == "banner" or any(ws and ws[-1] in ("header", "masthead") for ws in words))
         return _Open(tag, top.out or out, (top.main or main) and not out, top.heads_only or heads, named)
 
@@ -175,8 +191,9 @@ def _blocks(html: str) -> tuple[list[Block], _Page]:
         nonlocal links
         text = " ".join("".join(parts).split())
         top = stack.open[-1]
-        if text and not top.out and (not top.heads_only or (heading and top.main)):
-            found.append(Block(text, min(links, len(text)), top.main, bool(heading), top.named))
+        if text and not top.out and (not top.heads_only or top.main):
+            lead = top.heads_only and not heading
+            found.append(Block(text, min(links, len(text)), top.main, bool(heading), top.named, lead))
         parts.clear()
         links = 0
 
@@ -262,20 +279,26 @@ def _without_named(found: list[Block], page: _Page) -> list[Block]:
     """Blocks outside of what names put out; what holds most of the good text is no sidebar, whatever its name."""
     first_pass(found)
     good = [0] * len(page.holds)
+    under: dict[str, int] = {}
     total = 0
     for b in found:
         if b.label > 0 and not any(page.comments[i] for i in b.named):
             total += len(b.text)
             for i in b.named:
                 good[i] += len(b.text)
-    stays = [page.holds[i] and not page.comments[i] and 2 * good[i] > total for i in range(len(good))]
-    return [b for b in found if all(stays[i] for i in b.named)]
+            for name in frozenset().union(*(page.vague[i] for i in b.named)):
+                under[name] = under.get(name, 0) + len(b.text)
+    free = frozenset() if page.marked else frozenset(name for name, size in under.items() if 2 * size > total)
+    stays = [not page.comments[i] and ((page.holds[i] and 2 * good[i] > total) or (bool(page.vague[i]) and page.vague[i] <= free)) for i in range(len(good))]
+    return [b for b in found if all(stays[i] for i in b.named) and not (b.lead and b.label < 0)]
 
 
 def first_pass(found: list[Block]) -> None:
-    """Labels from each block alone; only headings and blocks under ``LONG`` are left undecided.
+    """Labels from each block alone; left undecided are headings, blocks under ``LONG``, and longer ones without the page's stop words.
 
-    Where no block has the stop words of a known language, long blocks are told by the ends of sentences.
+    Where no block has the stop words of a known language, long blocks are told by the ends of sentences. In the article,
+    running text may have many links, but is not all link. What an article's own header says beside headings is
+    good if it is running text (a lead, no byline).
     """
     shares = []
     for b in found:
@@ -284,12 +307,15 @@ def first_pass(found: list[Block]) -> None:
     known = any(share >= STOPS_LOW and len(b.text) >= SHORT for share, b in zip(shares, found, strict=True))
     for share, b in zip(shares, found, strict=True):
         n = len(b.text)
-        if b.links > LINKS * n:
+        running = share >= STOPS_LOW and n >= SHORT
+        if b.links > LINKS * n and not (b.main and running and b.links < LINKED * n):
             b.label = -1
+        elif b.lead:
+            b.label = 1 if running else -1
         elif b.heading or n < SHORT:
             b.label = 0
         elif n >= LONG:
-            b.label = 1 if b.main or share >= STOPS_LOW or (not known and _SENTENCE.search(b.text)) else -1
+            b.label = 1 if b.main or share >= STOPS_LOW or (not known and _SENTENCE.search(b.text)) else 0 if known else -1
         else:
             b.label = 1 if share >= STOPS_HIGH else 0
 

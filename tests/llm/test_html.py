@@ -157,3 +157,39 @@ def test_generated_pages_against_what_they_are_made_of():
     for _ in range(300):
         html, want = generated(rng)
         assert main_text(html) == want, html
+
+
+ONE = "The committee said on Tuesday that the plan for the new bridge would be put to the vote after the summer, as most of its members had asked for more time with it and for a second opinion on what it would cost the town."
+TWO = "If it is passed, the work could begin in the spring of the next year, and the bridge would be open to all who want to use it by the time that the old one has to be closed, which is what they had hoped for from the start of it all."
+NAMES = "Aalto Virtanen, Eino Korhonen, Toivo Nieminen, Urho Laine, Veikko Salonen, Onni Heikkinen, Paavo Rantanen, Kalevi Jokinen, Reino Tuominen, Martti Lehtonen, Erkki Saarinen, Lauri Heinonen, Pentti Niemi"
+BOTH = f"{ONE}\n{TWO}"
+MENU = "<nav><ul><li><a href=/>Home</a><li><a href=/n>News</a></ul></nav>"
+FOOT = "<footer>All rights reserved. Do not copy any of this.</footer>"
+
+
+@pytest.mark.parametrize("body, want", [
+    (f'<form id="aspnetForm" action="x"><input type=hidden>{MENU}<div><p>{ONE}</p><p>{TWO}</p></div>{FOOT}</form>', BOTH),
+    (f"<form><article><p>{ONE}</p><p>{TWO}</p></article></form>", BOTH),
+    (f'{MENU}<div class="elementor-widget elementor-widget-text"><div class="elementor-widget-container"><p>{ONE}</p><p>{TWO}</p></div></div>{FOOT}', BOTH),
+    (f'<div class="elementor-widget"><h1>The new bridge</h1></div><div class="elementor-widget"><div class="elementor-widget-container"><p>{ONE}</p><p>{TWO}</p></div></div>', f"The new bridge\n{BOTH}"),
+    (f'<div class="x-widget x-widget-heading"><h2>The new bridge</h2></div><div class="x-widget x-widget-text"><p>{ONE}</p><p>{TWO}</p></div><div class="x-widget x-widget-related-posts"><p>{ONE[:90]}</p></div>', f"The new bridge\n{BOTH}"),
+    (f'<div class="notice-board-page"><p>{ONE}</p><p>{TWO}</p></div>', BOTH),
+    (f'<div class="post tags"><p>{ONE}</p><p>{TWO}</p></div>', BOTH),
+    (f"{MENU}<div><p>{ONE}</p><p>{NAMES}</p><p>{TWO}</p></div>{FOOT}", f"{ONE}\n{NAMES}\n{TWO}"),
+    (f"<article><p>{ONE}</p><p>{TWO[:60]}<a href=x>{TWO[60:180]}</a>{TWO[180:]}</p></article>", BOTH),
+    (f"<article><header><h1>The new bridge</h1><p>By A. Writer</p><p>{ONE}</p></header><p>{TWO}</p></article>", f"The new bridge\n{BOTH}"),
+])
+def test_ordinary_layouts_keep_the_article(body, want):
+    assert main_text(f"<html><body>{body}</body></html>") == want
+
+
+@pytest.mark.parametrize("body, want", [
+    (f"<article><p>{ONE}</p></article><form><p>Write to us if you have any questions about this, or if there is more that you would like to know from us and from all who work with us on it, as we will be glad to be of help to you.</p><input></form>", ONE),
+    (f'<article><p>{ONE}</p></article><div class="sidebar-widget"><p>{TWO}</p><p>{TWO}</p></div>', ONE),
+    (f'<div><p>{ONE}</p><p>{ONE}</p></div><div class="related-posts"><p>{TWO}</p></div>', f"{ONE}\n{ONE}"),
+    (f'<div class="sidebar"><p>{ONE}</p></div>', ""),
+    (f"<article><p>{ONE}</p><p><a href=x>{TWO}</a></p></article>", ONE),
+    (f'<div class="comment-list"><p>{ONE}</p></div>', ""),
+])
+def test_what_is_no_article_stays_out(body, want):
+    assert main_text(f"<html><body>{body}</body></html>") == want
