@@ -1,4 +1,4 @@
-"""Reports on many formulas in one job, their de-duplication, and an evolutionary search over them.
+"""Reports on many formulas in one job, their de-duplication, and searches over them: by generations, as a tree, as a chain.
 
 The driver holds formulas and one row of statistics for each; every generation is evaluated as one batch.
 """
@@ -73,3 +73,71 @@ def evolved(panel: DataFrame, seeds: list[str], generations: int = 2, survivors:
             if child not in known and child not in tried and len(tried) < children:
                 tried.append(child)
     return panel.sparkSession.createDataFrame(out, "generation int, formula string, mean double")
+
+
+def proposals(formula: str) -> list[str]:
+    """What a formula may become in one step, in a fixed order: each of its windows changed, then the whole of it wrapped."""
+    out = []
+    for m in re.finditer(r",(\d+)\)", formula):
+        out += [f"{formula[: m.start()]},{n}){formula[m.end() :]}" for n in WINDOWS if n != int(m[1])]
+    if formula.count("(") < DEPTH:
+        out += [w.format(formula) for w in WRAPS]
+    return [f for f in dict.fromkeys(out) if f != formula and _sound(f)]
+
+
+def _sound(formula: str) -> bool:
+    try:
+        parse(formula)
+    except FormulaError:
+        return False
+    return True
+
+
+def _means(panel: DataFrame, formulas: list[str]) -> dict[str, float | None]:
+    """The mean daily coefficient of every formula, from one job."""
+    names = {f"f{i}": f for i, f in enumerate(formulas)}
+    return {names[r["name"]]: r["mean"] for r in batch_report(panel, names).select("name", "mean").collect()} if names else {}
+
+
+def _best_first(found: dict[str, float | None]) -> list[str]:
+    return sorted((f for f, m in found.items() if m is not None), key=lambda f: (-found[f], f))
+
+
+def tree_searched(panel: DataFrame, seed: str, depth: int = 2, branch: int = 4, survivors: int = 2) -> DataFrame:
+    """``level, formula, parent, mean, kept``: every level proposes ``branch`` steps from each survivor and is judged as one batch.
+
+    The ``survivors`` best of a level, by signed coefficient, are what the next one starts from; a formula is tried once only. With
+    branches and survivors enough this is the exhaustive search.
+    """
+    known = {seed: _means(panel, [seed]).get(seed)}
+    out, frontier = [(0, seed, None, known[seed], True)], [seed]
+    for level in range(1, depth + 1):
+        parent: dict[str, str] = {}
+        for node in frontier:
+            for child in proposals(node)[:branch]:
+                if child not in known:
+                    parent.setdefault(child, node)
+        if not parent:
+            break
+        found = {f: None for f in parent} | _means(panel, list(parent))
+        known |= found
+        frontier = _best_first(found)[:survivors]
+        out += [(level, f, parent[f], found[f], f in frontier) for f in parent]
+    return panel.sparkSession.createDataFrame(out, "level int, formula string, parent string, mean double, kept boolean")
+
+
+def chain_searched(panel: DataFrame, seed: str, rounds: int = 3, branch: int = 4) -> DataFrame:
+    """As :func:`tree_searched`, along one chain: each round tries steps from the best formula so far, and moves on only to a better one."""
+    known = {seed: _means(panel, [seed]).get(seed)}
+    best, out = seed, [(0, seed, None, known[seed], True)]
+    for level in range(1, rounds + 1):
+        tried = [f for f in proposals(best) if f not in known][:branch]
+        if not tried:
+            break
+        found = {f: None for f in tried} | _means(panel, tried)
+        known |= found
+        first = _best_first(found)[:1]
+        better = [f for f in first if known[best] is None or known[f] > known[best]]
+        out += [(level, f, best, found[f], f in better) for f in tried]
+        best = better[0] if better else best
+    return panel.sparkSession.createDataFrame(out, "level int, formula string, parent string, mean double, kept boolean")

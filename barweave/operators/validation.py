@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.ops import ratio, with_columns, with_factors
+from .accounts import replay_targets
 
 
 def walk_forward(returns: DataFrame, column: str, train: int, test: int) -> DataFrame:
@@ -78,6 +79,43 @@ def bootstrap_interval(ic: DataFrame, column: str = "rank_ic", draws: int = 500,
     return means.agg(F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"))
 
 
+def shuffled(panel: DataFrame, replicates: int, seed: int = 42) -> DataFrame:
+    """``panel`` with ``replicate``: 0 as it is, and 1 ... ``replicates``, in each of which a symbol's bars stand on its dates in another order.
+
+    An order is that of a digest of seed, replicate, symbol and place, so it is the same in any partitioning, and all replicates are one
+    job: the places of dates joined with the places of dealt bars.
+    """
+    values = [c for c in panel.columns if c not in ("date", "symbol")]
+    numbered = panel.withColumn("place", F.row_number().over(W.partitionBy("symbol").orderBy("date")))
+    dealt = numbered.select("symbol", *values, "place", F.explode(F.sequence(F.lit(0), F.lit(replicates))).alias("replicate"))
+    digest = F.md5(F.concat_ws("-", F.lit(seed), "replicate", "symbol", "place"))
+    order = F.when(F.col("replicate") == 0, "").otherwise(digest)
+    dealt = dealt.withColumn("at", F.row_number().over(W.partitionBy("symbol", "replicate").orderBy(order, "place"))).drop("place")
+    return dealt.join(numbered.select("symbol", F.col("place").alias("at"), "date"), ["symbol", "at"]).drop("at")
+
+
+def shuffle_noise(panel: DataFrame, strategy, replicates: int = 100, seed: int = 42, capital: float = 1_000_000.0, cost: float = 0.0) -> DataFrame:
+    """``symbol, n_shuffles, mean, std, p95, real, upper, no_lookahead``: a strategy's return against its returns on shuffled bars.
+
+    ``strategy`` takes a panel and returns ``date, symbol, position``. A return above mean plus two deviations of the
+    shuffled ones cannot come from the bars' shapes alone: it is marked for a look at what the strategy knows. Symbols of
+    replicates are symbols of their own to the strategy, so any one will do, and all are run at once.
+    """
+    mark = F.concat_ws("#", "symbol", "replicate")
+    rows = shuffled(panel, replicates, seed)
+    named = rows.select(F.struct("symbol", "replicate").alias("of"), mark.alias("symbol"), *(c for c in rows.columns if c not in ("symbol", "replicate")))
+    made = strategy(named.drop("of")).select("date", "symbol", F.col("position").cast("double").alias("target"))
+    run = replay_targets(named.join(made, ["date", "symbol"]), capital, cost)
+    totals = run.groupBy("symbol").agg((F.max_by("equity", "date") / capital - 1).alias("total"))
+    totals = totals.join(named.select("symbol", "of").distinct(), "symbol").select("of.*", "total")
+    noise = F.when(F.col("replicate") > 0, F.col("total"))
+    out = totals.groupBy("symbol").agg(
+        F.count(noise).alias("n_shuffles"), F.avg(noise).alias("mean"), F.stddev_pop(noise).alias("std"), F.percentile(noise, 0.95).alias("p95"), F.max(F.when(F.col("replicate") == 0, F.col("total"))).alias("real")
+    )
+    out = out.withColumn("upper", F.col("mean") + 2 * F.col("std"))
+    return out.withColumn("no_lookahead", F.col("real") <= F.col("upper"))
+
+
 def deflated_sharpe(sharpe: float, n: int, trials: int, variance: float, skew: float = 0.0, kurtosis: float = 3.0) -> float:
     """Chance that a Sharpe ratio (per period) is above what the best of ``trials`` would have by luck."""
     normal, gamma = NormalDist(), 0.5772156649015329

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.factors import FAMILIES
 from ..operators import composite as c
-from ..operators import mining
+from ..operators import formula_search, lattice, mining, validation
+from ..operators import multifactor as mf
 from ..sources import panels
 from . import duck
 from .factor_queries import published
@@ -195,3 +196,101 @@ _NAMED = duck.stages({"score": FAMILIES["alpha101_panel"][0]["alpha006"]}, "pane
 @query(f"WITH {duck.PANEL_L_FULL}, {_NAMED[0]} SELECT {_D}, symbol, {duck.rounded(_NAMED[2]['score'])} AS score FROM {_NAMED[1]}")
 def factor_scores(spark, sf_dir):
     return c.factor_scores(_panel(spark, sf_dir), "alpha006")
+
+
+# Models along time.
+SPECS = (mf.spec_of("momentum", 10, 1.0), mf.spec_of("mean_reversion", 20, -0.5), mf.spec_of("volatility", 20, -0.3))
+BOUND, ENTER, LEAVE = 0.3, 0.4, 0.15
+_Z = duck.stages({s.name: f"expanding_zscore({s.formula})" for s in SPECS}, "panel", "single", fill=True)
+
+
+def _pair(a: int, b: int) -> str:
+    spread = f"stddev_samp(z{a}) * stddev_samp(z{b})"
+    return f"coalesce(abs(CASE WHEN {spread} > 1e-12 THEN covar_samp(z{a}, z{b}) / ({spread}) END), 0) < {BOUND} AS far{a}{b}"
+
+
+_SCORES = f"""{duck.PANEL_L_OWN}, {_Z[0]}, z AS MATERIALIZED (SELECT date, symbol, {', '.join(f'{x} AS z{i}' for i, x in enumerate(_Z[2].values()))} FROM {_Z[1]}),
+far AS (SELECT symbol, {_pair(0, 1)}, {_pair(0, 2)}, {_pair(1, 2)} FROM z GROUP BY symbol),
+keeps AS (SELECT symbol, far01 AS k1, far02 AND (NOT far01 OR far12) AS k2 FROM far),
+scored AS (SELECT date, symbol, (z0 * {SPECS[0].weight} + CASE WHEN k1 THEN z1 * {SPECS[1].weight} ELSE 0 END + CASE WHEN k2 THEN z2 * {SPECS[2].weight} ELSE 0 END)
+  / ({abs(SPECS[0].weight)}::DOUBLE + CASE WHEN k1 THEN {abs(SPECS[1].weight)}::DOUBLE ELSE 0 END + CASE WHEN k2 THEN {abs(SPECS[2].weight)}::DOUBLE ELSE 0 END) AS score FROM z JOIN keeps USING (symbol))"""
+
+
+def _model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    z = mf.signals(panels.shipment_bars(spark, sf_dir), SPECS)
+    return mf.scores(z, SPECS, mf.kept(z, SPECS, BOUND))
+
+
+@query(f"WITH {_SCORES} SELECT symbol, concat('0', CASE WHEN k1 THEN ',1' ELSE '' END, CASE WHEN k2 THEN ',2' ELSE '' END) AS kept FROM keeps")
+def model_kept(spark, sf_dir):
+    z = mf.signals(panels.shipment_bars(spark, sf_dir), SPECS)
+    return mf.kept(z, SPECS, BOUND).select("symbol", F.concat_ws(",", F.col("kept").cast("array<string>")).alias("kept"))
+
+
+@query(f"WITH {_SCORES} SELECT {_D}, symbol, {_r('score')} FROM scored")
+def model_scores(spark, sf_dir):
+    return _model(spark, sf_dir)
+
+
+_IN_TIME = "OVER (PARTITION BY symbol ORDER BY date)"
+
+
+@query(
+    f"""WITH {_SCORES}, decided AS (SELECT *, CASE WHEN score > {ENTER} THEN 1 WHEN score < -{ENTER} THEN -1 WHEN abs(score) < {LEAVE} OR sign(score) * sign(lag(score) {_IN_TIME}) < 0 THEN 0 END AS d FROM scored)
+    SELECT {_D}, symbol, {_r('score')}, 10.0::DOUBLE * coalesce(last_value(d IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS target FROM decided"""
+)
+def model_targets(spark, sf_dir):
+    return mf.targets(_model(spark, sf_dir), ENTER, LEAVE, size=10.0)
+
+
+REPLICATES = 50
+
+
+@query(
+    f"""WITH {duck.PANEL_L_OWN}, n AS (SELECT *, row_number() {_IN_TIME} AS place FROM panel), r AS (SELECT unnest(generate_series(0, {REPLICATES})) AS replicate),
+    dealt AS (SELECT symbol, open, close, replicate, row_number() OVER (PARTITION BY symbol, replicate ORDER BY CASE WHEN replicate = 0 THEN '' ELSE md5(concat_ws('-', 42, replicate, symbol, place)) END, place) AS place FROM n, r),
+    b AS (SELECT d.symbol, d.replicate, n.date, d.open, d.close FROM dealt d JOIN n ON n.symbol = d.symbol AND n.place = d.place),
+    m AS (SELECT *, close / nullif(lag(close, 20) OVER w, 0) - 1 AS r, lag(close) OVER w AS prev FROM b WINDOW w AS (PARTITION BY symbol, replicate ORDER BY date)),
+    t AS (SELECT *, CASE WHEN r > 0.02 THEN 1 WHEN r < -0.02 THEN -1 ELSE 0 END AS target FROM m),
+    p AS (SELECT *, coalesce(lag(target) OVER (PARTITION BY symbol, replicate ORDER BY date), 0) AS position FROM t), q AS (SELECT *, coalesce(lag(position) OVER (PARTITION BY symbol, replicate ORDER BY date), 0) AS held FROM p),
+    s AS (SELECT symbol, replicate, sum(coalesce(held * (open - prev), 0) + position * (close - open) - abs(position - held) * open * 0.0005) / 10000 AS total FROM q GROUP BY 1, 2),
+    o AS (SELECT symbol, count(total) FILTER (replicate > 0) AS n_shuffles, avg(total) FILTER (replicate > 0) AS mean, stddev_pop(total) FILTER (replicate > 0) AS std, quantile_cont(total, 0.95) FILTER (replicate > 0) AS p95, max(total) FILTER (replicate = 0) AS real FROM s GROUP BY 1)
+    SELECT symbol, n_shuffles, {_r('mean', 'std', 'p95', 'real')}, {duck.rounded('mean + 2 * std')} AS upper, real <= mean + 2 * std AS no_lookahead FROM o"""
+)
+def validation_shuffle_noise(spark, sf_dir):
+    return validation.shuffle_noise(panels.shipment_bars(spark, sf_dir), validation.momentum_signal, REPLICATES, capital=10_000.0, cost=0.0005)
+
+
+GRID = {"fast": [3, 5, 10, 15], "slow": [10, 20, 40]}
+
+
+def _lattice_sql() -> str:
+    windows = sorted({n for v in GRID.values() for n in v})
+    means = ", ".join(f"CASE WHEN count(close) OVER w{n} >= {n} THEN avg(close) OVER w{n} END AS m{n}" for n in windows)
+    frames = ", ".join(f"w{n} AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in windows)
+    every = " UNION ALL ".join(
+        f"SELECT {i} AS i, {j} AS j, {a}.0::DOUBLE AS fast, {b}.0::DOUBLE AS slow, date, symbol, open, CASE WHEN m{a} IS NULL OR m{b} IS NULL THEN 0 WHEN m{a} > m{b} THEN 1 ELSE -1 END AS target FROM means"
+        for i, a in enumerate(GRID["fast"]) for j, b in enumerate(GRID["slow"]) if a < b
+    )
+    w = "OVER (PARTITION BY i, j, symbol ORDER BY date)"
+    return f"""{duck.PANEL_L_OWN}, means AS MATERIALIZED (SELECT date, symbol, open, {means} FROM panel WINDOW {frames}), every AS ({every}),
+    g AS (SELECT *, coalesce(lag(target) {w} * (lead(open) {w} / nullif(open, 0) - 1), 0) AS gain FROM every), d AS (SELECT i, j, fast, slow, date, avg(gain) AS r FROM g GROUP BY ALL),
+    res AS MATERIALIZED (SELECT i, j, fast, slow, avg(r) / nullif(stddev_samp(r), 0) * sqrt(252.0::DOUBLE) AS sharpe FROM d GROUP BY ALL),
+    nb AS (SELECT a.i, a.j, count(*) AS neighbours, quantile_cont(b.sharpe, 0.5) AS median FROM res a JOIN res b ON abs(a.i - b.i) + abs(a.j - b.j) = 1 GROUP BY 1, 2),
+    plat AS (SELECT res.*, coalesce(neighbours, 0) AS neighbours, median, CASE WHEN sharpe > 0 THEN median / sharpe END AS ratio, row_number() OVER (ORDER BY sharpe DESC, i, j) = 1 AS best FROM res LEFT JOIN nb USING (i, j))"""
+
+
+@query(f"WITH {_lattice_sql()} SELECT fast, slow, {_r('sharpe')}, neighbours, {_r('median', 'ratio')}, sharpe > 0 AND (neighbours = 0 OR coalesce(ratio >= 0.6, false)) AS ok, best FROM plat")
+def lattice_plateau(spark, sf_dir):
+    run = lattice.averages_run(panels.shipment_bars(spark, sf_dir), GRID)
+    return lattice.plateau(run, 2).drop("at")
+
+
+@query()
+def search_tree(spark, sf_dir):
+    return formula_search.tree_searched(_panel(spark, sf_dir), "mean(close,5)", 2, 4, 2)
+
+
+@query()
+def search_chain(spark, sf_dir):
+    return formula_search.chain_searched(_panel(spark, sf_dir), "mean(close,5)", 2, 4)
