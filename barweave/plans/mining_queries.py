@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.factors import FAMILIES
 from ..operators import composite as c
-from ..operators import formula_search, lattice, mining, validation
+from ..operators import formula_search, gate, lattice, mining, ranker, research, validation
 from ..operators import multifactor as mf
 from ..sources import panels
 from . import duck
@@ -294,3 +294,41 @@ def search_tree(spark, sf_dir):
 @query()
 def search_chain(spark, sf_dir):
     return formula_search.chain_searched(_panel(spark, sf_dir), "mean(close,5)", 2, 4)
+
+
+# The order gate on orders that passed.
+_DAY, _WHILE = 86_400_000_000, 120 * 86_400
+GATE = gate.Limits(most_volume=6, deviation=0.9, most_position=12, a_day=1, a_while=3, within=_WHILE)
+
+
+@query(
+    f"""WITH RECURSIVE o AS MATERIALIZED (SELECT o_custkey::VARCHAR AS account, o_orderkey AS order_id, epoch_us(o_orderdate::TIMESTAMP) AS t, CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE 1 END AS side, o_orderkey % 5 = 0 AS closes,
+      (1 + o_orderkey % 7)::DOUBLE AS volume, o_totalprice AS price, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i FROM orders),
+    g(account, i, order_id, code, held, times) AS (SELECT account, 0::BIGINT, NULL::BIGINT, '', 0.0::DOUBLE, []::BIGINT[] FROM o WHERE i = 1
+      UNION ALL SELECT account, i, order_id, code, CASE WHEN code = 'PASS' THEN held + side * volume ELSE held END, CASE WHEN code = 'PASS' THEN list_append(times, t) ELSE times END FROM (
+        SELECT o.*, g.held, g.times, CASE WHEN o.volume > 6 THEN 'VOLUME' WHEN abs(o.price - 150000) / 150000 > 0.9 THEN 'PRICE' WHEN o.closes AND o.volume > abs(g.held) + 1e-9 THEN 'CLOSE_VOLUME'
+          WHEN abs(g.held + o.side * o.volume) > abs(g.held) + 1e-9 AND abs(g.held + o.side * o.volume) > 12 + 1e-9 THEN 'POSITION' WHEN len(list_filter(g.times, lambda x: x // {_DAY} = o.t // {_DAY})) >= 1 THEN 'DAY_ORDERS'
+          WHEN len(list_filter(g.times, lambda x: x > o.t - {_WHILE}::BIGINT * 1000000)) >= 3 THEN 'RATE' ELSE 'PASS' END AS code FROM g JOIN o ON o.account = g.account AND o.i = g.i + 1))
+    SELECT account, order_id, code, held FROM g WHERE i > 0"""
+)
+def desk_gate_passed(spark, sf_dir):
+    o = panels.table(spark, sf_dir, "orders")
+    rows = o.select(
+        F.col("o_custkey").alias("account"), F.col("o_orderkey").alias("order_id"), F.lit("x").alias("symbol"), F.col("o_orderdate").alias("ts"), F.when(F.col("o_orderkey") % 3 == 0, -1).otherwise(1).alias("side"),
+        F.when(F.col("o_orderkey") % 5 == 0, "CLOSE").otherwise("OPEN").alias("offset"), (1 + F.col("o_orderkey") % 7).alias("volume"), F.col("o_totalprice").alias("price"), F.lit(150000.0).alias("reference"),
+    )
+    return gate.gated(rows, GATE)
+
+
+@query()
+def research_ranker(spark, sf_dir):
+    """NDCG of the first five on test dates: of the ranker, and of a regression on the same factors."""
+    names = ["activity", "range", "reversal"]
+    rows = c.parted(_panel(spark, sf_dir), {n: POOL[n] for n in names})
+    made = research.bucketed(rows.where(F.col("fwd").isNotNull()), "fwd", K, K).select("date", "symbol", "part", "fwd", "bucket", *names)
+    train, test = made.where("part = 'train'"), made.where("part = 'test'")
+    out = None
+    for name, weights in (("ranker", ranker.fitted(train, names, "bucket", K)), ("regression", ranker.least_squares(train, names, "fwd"))):
+        part = research.ndcg(ranker.scored(test, names, weights), "score", "bucket", K).select(F.lit(name).alias("model"), "date", "ndcg")
+        out = part if out is None else out.unionByName(part)
+    return out
