@@ -304,6 +304,22 @@ def turbulence(df: DataFrame, column: str, train: int = 100) -> DataFrame:
     return rows.withColumn("turbulence", F.abs(F.col(column) - F.avg("first").over(w)) / F.when(sd > 1e-12, sd)).drop("first")
 
 
+def turbulence_regimes(df: DataFrame, column: str, train: int = 100) -> DataFrame:
+    """``turbulence, regime, scale``: EXTREME above the 99 % quantile of the symbol's rows after the first ``train``, HIGH above the 95 % one.
+
+    HIGH is never below one deviation, EXTREME never below the 95 % quantile. ``scale`` is what exposure is left with: all, half, nothing. The
+    first rows, which the mean and deviation come from, are LOW.
+    """
+    w = W.partitionBy("symbol")
+    rows = turbulence(df, column, train).withColumn("place", F.row_number().over(w.orderBy("date")))
+    later = F.when(F.col("place") > train, F.col("turbulence"))
+    bounds = rows.groupBy("symbol").agg(F.percentile(later, 0.95).alias("q95"), F.percentile(later, 0.99).alias("q99"))
+    high, extreme = F.greatest("q95", F.lit(1.0)), F.greatest(F.col("q99"), F.col("q95") + 1e-9)
+    regime = F.when(later > extreme, "EXTREME").when(later > high, "HIGH").otherwise("LOW")
+    rows = rows.join(bounds, "symbol").withColumn("regime", regime).drop("place", "q95", "q99")
+    return rows.withColumn("scale", F.when(F.col("regime") == "LOW", 1.0).when(F.col("regime") == "HIGH", 0.5).otherwise(0.0))
+
+
 def decay_status(ic: DataFrame, recent: int = 60, column: str = "rank_ic") -> DataFrame:
     """``recent, history, ratio, status`` of a coefficient series: its last rows against those before."""
     rows = ic.where(F.col(column).isNotNull()).withColumn("back", F.row_number().over(W.orderBy(F.desc("date"))))

@@ -215,6 +215,45 @@ def look_ahead(now: DataFrame, ahead: DataFrame, column: str = "rank_ic", most:
     return a.join(b).withColumn("suspect", F.coalesce((F.col("now") > most) | (F.col("ahead") > most), F.lit(False)))  # one row each
 
 
+def prefix_leaks(panel: DataFrame, make, cuts: list, tolerance: float = 1e-9) -> DataFrame:
+    """``cut, date, symbol, full, known``: where what ``make`` gives on the whole panel is not what it gives on the dates up to a cut.
+
+    ``make`` takes a panel and returns ``date, symbol, value``. What looks back only cannot tell whether there are later dates, so any row is
+    a leak, whatever the code looks like. Each cut is a run of its own, as values across symbols share their dates; a few cuts will do.
+    """
+    full = make(panel).select("date", "symbol", F.col("value").alias("full"))
+    out = None
+    for cut in cuts:
+        known = make(panel.where(F.col("date") <= F.lit(cut))).select("date", "symbol", F.col("value").alias("known"))
+        both = full.where(F.col("date") <= F.lit(cut)).join(known, ["date", "symbol"], "full_outer")
+        apart = F.abs(F.col("full") - F.col("known")) > tolerance * F.greatest(F.lit(1.0), F.abs("full"))
+        bad = both.where(F.coalesce(apart, ~F.col("full").eqNullSafe(F.col("known")))).select(F.lit(cut).alias("cut"), "date", "symbol", "full", "known")
+        out = bad if out is None else out.unionByName(bad)
+    return out
+
+
+def interval_issues(code: str, interval: str) -> list[str]:
+    """What in a strategy's source does not go with the interval of its bars (``1d``, or less than a day).
+
+    Daily bars have no hour to look at, and no view of days beside them; bars within a day should be looked at by time, or by day.
+    Source that cannot be parsed has no issues of this kind.
+    """
+    import ast
+
+    try:
+        nodes = list(ast.walk(ast.parse(code)))
+    except SyntaxError:
+        return []
+    read = {n.attr for n in nodes if isinstance(n, ast.Attribute)}
+    clock, views = bool(read & {"hour", "minute", "second"}), bool(read & {"daily", "mtf"})
+    by_day = views or "date" in read or any(isinstance(n, ast.Name) and "day" in n.id.lower() for n in nodes)
+    if interval == "1d":
+        found = [("reads the time of day, which daily bars do not have", clock), ("asks for views of days, which daily bars are themselves", views)]
+    else:
+        found = [("looks at neither time nor day, on bars within a day", not clock and not by_day)]
+    return [text for text, holds in found if holds]
+
+
 def promotion(reports: DataFrame) -> DataFrame:
     """``reasons, promoted``: which gates a run misses: Sharpe 1, drawdown 15 %, 30 days, Calmar 1, win rate 45 %."""
     gates = {"sharpe": F.col("sharpe") < 1, "drawdown": F.col("max_drawdown") < -0.15, "days": F.col("days") < 30, "calmar": F.col("calmar") < 1, "win_rate": F.col("win_rate") < 0.45}

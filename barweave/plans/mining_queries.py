@@ -332,3 +332,14 @@ def research_ranker(spark, sf_dir):
         part = research.ndcg(ranker.scored(test, names, weights), "score", "bucket", K).select(F.lit(name).alias("model"), "date", "ndcg")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+@query(
+    f"""WITH {duck.PANEL_L_OWN}, a AS (SELECT *, row_number() {_IN_TIME} AS i FROM panel), b AS (SELECT *, CASE WHEN i <= 50 THEN close END AS f FROM a),
+    c AS (SELECT *, avg(f) OVER (PARTITION BY symbol) AS m, stddev_samp(f) OVER (PARTITION BY symbol) AS sd FROM b), t AS (SELECT date, symbol, i, CASE WHEN sd > 1e-12 THEN abs(close - m) / sd END AS turbulence FROM c),
+    q AS (SELECT symbol, quantile_cont(turbulence, 0.95) AS q95, quantile_cont(turbulence, 0.99) AS q99 FROM t WHERE i > 50 GROUP BY 1),
+    r AS (SELECT t.*, CASE WHEN i > 50 AND turbulence > greatest(q99, q95 + 1e-9) THEN 'EXTREME' WHEN i > 50 AND turbulence > greatest(q95, 1) THEN 'HIGH' ELSE 'LOW' END AS regime FROM t JOIN q USING (symbol))
+    SELECT {_D}, symbol, {_r('turbulence')}, regime, CASE regime WHEN 'LOW' THEN 1.0::DOUBLE WHEN 'HIGH' THEN 0.5 ELSE 0 END AS scale FROM r"""
+)
+def research_turbulence_regimes(spark, sf_dir):
+    return research.turbulence_regimes(panels.shipment_bars(spark, sf_dir), "close", 50).select("date", "symbol", "turbulence", "regime", "scale")
