@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,27 +17,26 @@ def keyword_score(rows: DataFrame, fields: dict[str, tuple[list[str], float]]) -
     return rows.withColumn("score", sum(hits, F.lit(0.0)))
 
 
-#: A token, and what may not stand beside a Latin one.
-TOKEN, LATIN = r"[a-z0-9_]+|[\x{4e00}-\x{9fff}]", "[a-z0-9_]"
+#: A token.
+TOKEN = r"[a-z0-9_]+|[\x{4e00}-\x{9fff}]"
 
 
-def _times(text: Column, word: str) -> Column:
-    """How often a word is a token of a lower-case text; what is no single token never is one."""
-    if re.fullmatch(f"{LATIN}+", word):
-        return F.regexp_count(text, F.lit(f"(?<!{LATIN}){word}(?!{LATIN})"))
-    return F.regexp_count(text, F.lit(word)) if re.fullmatch("[\u4e00-\u9fff]", word) else F.lit(0)
+def _times(found: Column, word: str) -> Column:
+    return F.size(F.filter(found, lambda t: t == word))
 
 
 def bm25(rows: DataFrame, key: str, text: str, query: list[str], k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """``key, score`` of the rows that hold some word of the query.
 
-    Tokens are counted in the text and never laid out or shuffled; what is shuffled is one row of totals. The
+    Tokens are never laid out as rows or shuffled; what is shuffled is one row of totals. The
     texts are read for the totals and again for the scores.
     """
     words = sorted(set(query))
-    lower = F.lower(F.coalesce(F.col(text), F.lit("")))
-    seen = rows.select(F.col(key), lower.alias("t")).withColumn("n", F.regexp_count("t", F.lit(TOKEN))).where("n > 0")
-    counts = F.array(*(F.struct(F.lit(w).alias("token"), _times(F.col("t"), w).alias("tf")) for w in words))
+    # One pass over a text gives its length and the words of the query in it; all its other tokens end there. As a generated
+    # row, it is not worked out again for a filter on it.
+    kept = lambda found: F.struct(F.size(found).alias("n"), F.filter(found, lambda t: t.isin(words)).alias("hits"))
+    seen = rows.select(F.col(key), F.inline(F.transform(F.array(tokens(F.col(text))), kept))).where("n > 0")
+    counts = F.array(*(F.struct(F.lit(w).alias("token"), _times(F.col("hits"), w).alias("tf")) for w in words))
     slim = seen.select(key, "n", counts.alias("c"))
     totals = slim.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"), *(F.count_if(F.col("c")[i]["tf"] > 0).alias(f"df{i}") for i in range(len(words))))
     joined = slim.join(F.broadcast(totals))  # one row
