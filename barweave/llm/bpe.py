@@ -14,17 +14,16 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
-from functools import lru_cache
 
 import regex
 from pyspark.sql import DataFrame
 
-from .common import per_text
+from .common import held, per_text
 
 #: Stands for the end of a word inside the automaton; no byte maps to it.
 END = "￿"
 #: Words of a generation that a worker remembers: the one before is kept, and what is used again moves on.
-REMEMBERED = 40_000
+REMEMBERED = 80_000
 
 
 def byte_letters() -> list[str]:
@@ -166,10 +165,9 @@ class WordBpe:
         return " ".join([self.names[i] for i in ids if i in self.names])
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> WordBpe:
     """One encoder for each worker process and file."""
-    return WordBpe(path)
+    return held(("bpe", path), lambda: WordBpe(path))
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:

@@ -110,6 +110,18 @@ def _give_back() -> None:
         return
 
 
+_HELD: dict = {}
+
+
+def held(key: tuple, make):
+    """What this process has made for ``key``. It holds one thing at a time: the stages of a pipeline follow one another in the same workers."""
+    if key not in _HELD:
+        _HELD.clear()
+        _give_back()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def kind_of(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
 

@@ -12,7 +12,7 @@ size is bounded by ``block_chars``. A larger benchmark is dealt with block by bl
 
 from __future__ import annotations
 
-from functools import lru_cache, partial
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .codepoints import BREAK, batches_of, codes, tables
-from .common import filtered, kind_of, per_text, whole_text
+from .common import filtered, held, kind_of, per_text, whole_text
 
 #: q-gram length; edits allowed for each character of an item; characters of a block of the benchmark.
 Q, RATE, BLOCK_CHARS = 8, 0.1, 4_000_000
@@ -236,14 +236,6 @@ def _matches(texts: list[str], offset: int, index: Index) -> list[tuple]:
     return out
 
 
-@lru_cache(maxsize=2)
-def _index(key: str, q: int, rate: float) -> Index:
-    return Index(_TEXTS[key], q, rate)
-
-
-_TEXTS: dict[str, list[str]] = {}
-
-
 def _blocks(benchmark: DataFrame, block_chars: int):
     """The benchmark in blocks of at most ``block_chars`` characters (or one item): lists of texts and of their ids.
 
@@ -263,10 +255,7 @@ def _blocks(benchmark: DataFrame, block_chars: int):
 
 
 def _find(batch: list[str], sent, key: str, q: int, rate: float) -> pd.DataFrame:
-    if key not in _TEXTS:
-        _TEXTS.clear()
-        _TEXTS[key] = sent.value
-    return matches(batch, _index(key, q, rate))
+    return matches(batch, held(("benchmark", key, q, rate), lambda: Index(sent.value, q, rate)))
 
 
 def _finder(spark, texts: list[str], q: int, rate: float):
