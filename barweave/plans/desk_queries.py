@@ -223,9 +223,26 @@ def research_batch_report(spark, sf_dir):
     return formula_search.batch_report(panels.complete(panels.shipment_bars(spark, sf_dir)), _BATCH)
 
 
-@query()
+_ALIKE = _BATCH | {"reversal_6": "-delta(close,6)/close", "activity_12": "volume/mean(volume,12)"}
+_CA, _LA, _OA = duck.stages(_ALIKE, "panel", fill=False)
+_RANK = "rank() OVER (PARTITION BY name, date ORDER BY z) + (count(*) OVER (PARTITION BY name, date, z) - 1) / 2.0::DOUBLE"
+
+
+@query(
+    f"""WITH RECURSIVE {duck.PANEL_L_FULL}, {_CA}, v AS (SELECT date, symbol, lead(close) OVER (PARTITION BY symbol ORDER BY date) / nullif(close, 0) - 1 AS fwd, {', '.join(f'{x} AS "{k}_"' for k, x in _OA.items())} FROM {_LA}),
+    e AS MATERIALIZED ({' UNION ALL '.join(f"SELECT '{k}' AS name, date, symbol, {k}_ AS x, fwd FROM v" for k in _ALIKE)}), q AS (SELECT name, date, {duck.steady('x')} AS x, {duck.steady('fwd')} AS y FROM e WHERE x IS NOT NULL AND fwd IS NOT NULL),
+    p AS (SELECT name, date, {_PLACE.format('x')} AS rx, {_PLACE.format('y')} AS ry FROM q),
+    c AS (SELECT name, date, CASE WHEN stddev_samp(rx) * stddev_samp(ry) > 1e-12 THEN covar_samp(rx, ry) / (stddev_samp(rx) * stddev_samp(ry)) END AS ic FROM p GROUP BY 1, 2 HAVING count(*) >= 3),
+    o AS (SELECT name, avg(ic) AS mean, row_number() OVER (ORDER BY abs(avg(ic)) DESC, name) AS k FROM c GROUP BY name),
+    z AS (SELECT name, date, symbol, {duck.steady('x')} AS z FROM e WHERE x IS NOT NULL), r AS MATERIALIZED (SELECT name, date, symbol, {_RANK} AS r FROM z),
+    near AS (SELECT a.name AS a, b.name AS b, covar_samp(a.r, b.r) / nullif(stddev_samp(a.r) * stddev_samp(b.r), 0) AS q FROM r a JOIN r b ON a.date = b.date AND a.symbol = b.symbol AND a.name <> b.name GROUP BY 1, 2),
+    nb AS (SELECT o.name, o.mean, o.k, coalesce(list(near.b) FILTER (near.q >= 0.7), []) AS close FROM o LEFT JOIN near ON near.a = o.name GROUP BY ALL),
+    pick(k, heads) AS (SELECT 0::BIGINT, []::VARCHAR[] UNION ALL SELECT nb.k, CASE WHEN list_has_any(heads, nb.close) THEN heads ELSE list_append(heads, nb.name) END FROM pick JOIN nb ON nb.k = pick.k + 1),
+    h AS (SELECT arg_max(heads, k) AS heads FROM pick)
+    SELECT name, {duck.rounded('abs(mean)')} AS mean, CASE WHEN list_contains(heads, name) THEN name ELSE list_filter(heads, lambda x: list_contains(nb.close, x))[1] END AS head FROM nb, h"""
+)
 def research_deduplicated(spark, sf_dir):
-    return formula_search.deduplicated(panels.complete(panels.shipment_bars(spark, sf_dir)), _BATCH | {"reversal_6": "-delta(close,6)/close", "activity_12": "volume/mean(volume,12)"})
+    return formula_search.deduplicated(panels.complete(panels.shipment_bars(spark, sf_dir)), _ALIKE)
 
 
 @query()

@@ -295,7 +295,19 @@ def validation_cost_sensitivity(spark, sf_dir):
     return v.cost_sensitivity(_book(spark, sf_dir), 0.001)
 
 
-@query()
+def _grid_sql(fast: list[int], slow: list[int]) -> str:
+    windows = sorted({*fast, *slow})
+    means = ", ".join(f"CASE WHEN count(close) OVER w{n} >= {n} THEN avg(close) OVER w{n} END AS m{n}" for n in windows)
+    frames = ", ".join(f"w{n} AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in windows)
+    side = "CASE WHEN m{a} IS NULL OR m{b} IS NULL THEN 0 WHEN m{a} > m{b} THEN 1 ELSE -1 END AS target"
+    every = " UNION ALL ".join(f"SELECT {a} AS fast, {b} AS slow, date, symbol, open, {side.format(a=a, b=b)} FROM means" for a in fast for b in slow if a < b)
+    w = "OVER (PARTITION BY fast, slow, symbol ORDER BY date)"
+    return f"""WITH {duck.PANEL_L_OWN}, means AS MATERIALIZED (SELECT date, symbol, open, {means} FROM panel WINDOW {frames}), every AS ({every}),
+    p AS (SELECT *, coalesce(lag(target) {w}, 0) AS position, lead(open) {w} AS after FROM every), h AS (SELECT *, coalesce(lag(position) {w}, 0) AS held FROM p)
+    SELECT fast, slow, {duck.rounded('sum(coalesce(position * (after / nullif(open, 0) - 1), 0))')} AS pnl, sum(abs(position - held))::BIGINT AS trades FROM h GROUP BY fast, slow"""
+
+
+@query(_grid_sql([3, 5, 10], [10, 20, 40]))
 def validation_parameter_grid(spark, sf_dir):
     return v.parameter_grid(panels.shipment_bars(spark, sf_dir), [3, 5, 10], [10, 20, 40])
 
