@@ -339,14 +339,21 @@ def ndcg(df: DataFrame, score: str, relevance: str, k: int = 5) -> DataFrame:
 
 
 def composite_score(df: DataFrame) -> DataFrame:
-    """``composite`` of a report's ``mean_ic, ir, sharpe, annual, max_drawdown, monotonicity, turnover``; missing parts count half."""
-    sigmoid = lambda x: F.coalesce(1 / (1 + F.exp(-2 * x)), F.lit(0.5))
-    part = lambda x: F.coalesce(F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)), F.lit(0.5))
+    """``composite`` of a report's ``mean_ic, ir, sharpe, annual, max_drawdown, monotonicity, turnover``; each part is between 0 and 1, a missing one a half.
+
+    Drawdown and turnover count the less the larger they are.
+    """
     c = F.col
+
+    def part(x: Column) -> Column:
+        return F.coalesce(x, F.lit(0.5))
+
+    def sigmoid(x: Column) -> Column:
+        return 1 / (1 + F.exp(-2 * x))
+
+    within = F.when(c("monotonicity").isNotNull(), F.least(F.abs("monotonicity"), F.lit(1.0)))
     return df.withColumn(
         "composite",
-        0.30 * sigmoid(c("mean_ic") / 0.05) + 0.15 * sigmoid(c("ir") / 0.5) + 0.20 * sigmoid(c("sharpe")) + 0.15 * sigmoid(c("annual") / 0.30)
-        + 0.10 * part(1 - F.abs(c("max_drawdown")) / 0.20) + 0.05 * part(F.abs(c("monotonicity"))) + 0.05 * part(1 - c("turnover") / 10),
+        0.30 * part(sigmoid(c("mean_ic") / 0.05)) + 0.15 * part(sigmoid(c("ir") / 0.5)) + 0.20 * part(sigmoid(c("sharpe"))) + 0.15 * part(sigmoid(c("annual") / 0.30))
+        + 0.10 * part(1 - sigmoid(F.abs("max_drawdown") / 0.20)) + 0.05 * part(within) + 0.05 * part(1 - sigmoid(c("turnover") / 10)),
     )
-
-

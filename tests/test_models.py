@@ -158,3 +158,43 @@ def test_tree_with_room_for_all_is_the_exhaustive_search(spark, panel, monkeypat
     chain = formula_search.chain_searched(panel, seed, 3, 99).collect()
     steps = [r.mean for r in sorted(chain, key=lambda r: r.level) if r.kept]
     assert steps == sorted(steps) and len(chain) == len({r.formula for r in chain})
+
+
+def test_generations_of_the_evolution(spark, panel):
+    out = formula_search.evolved(panel, ["mean(close,5)/close", "-delta(close,3)"], 2, 2, 3, seed=4).collect()
+    means = {r["name"]: r["mean"] for r in formula_search.batch_report(panel, {r.formula: r.formula for r in out}).collect()}
+    assert {r.formula: r.mean for r in out} == pytest.approx({r.formula: means.get(r.formula) for r in out})
+    assert len({r.formula for r in out}) == len(out) and {r.generation for r in out} == {0, 1, 2}
+    for g in (1, 2):
+        before = {r.formula: r.mean for r in out if r.generation < g and r.mean is not None}
+        parents = sorted(before, key=lambda f: (-before[f], f))[:2]
+        steps = {c for p in parents for c in formula_search.proposals(p)} | {w.format(p) for p in parents for w in formula_search.WRAPS}
+        windows = lambda f: __import__("re").sub(r",\d+\)", ",n)", f)
+        assert all(r.formula in steps or any(windows(r.formula) == windows(p) for p in parents) for r in out if r.generation == g)
+
+
+def test_composite_score_by_hand(spark):
+    import math
+
+    from barweave.operators import research
+
+    rows = [(0.03, 0.4, 1.2, 0.15, -0.1, 0.8, 3.0), (None, None, None, None, None, None, None), (-0.2, -2.0, -3.0, -0.9, -0.6, -1.0, 40.0)]
+    names = ("mean_ic", "ir", "sharpe", "annual", "max_drawdown", "monotonicity", "turnover")
+    got = research.composite_score(spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names))).collect()
+    sig = lambda x, s: 0.5 if x is None else 1 / (1 + math.exp(-2 * x / s))
+    for r in got:
+        less = lambda x, s: 0.5 if x is None else 1 - sig(x, s)
+        mono = 0.5 if r.monotonicity is None else min(1.0, abs(r.monotonicity))
+        drawdown = None if r.max_drawdown is None else abs(r.max_drawdown)
+        want = 0.30 * sig(r.mean_ic, 0.05) + 0.15 * sig(r.ir, 0.5) + 0.20 * sig(r.sharpe, 1) + 0.15 * sig(r.annual, 0.3) + 0.10 * less(drawdown, 0.2) + 0.05 * mono + 0.05 * less(r.turnover, 10)
+        assert r.composite == pytest.approx(want)
+
+
+def test_a_learned_factor_is_fitted_on_early_dates_only(spark, panel):
+    from barweave.operators import attribution, research
+
+    rows = research.forward_return(panel).withColumn("f", F.col("close") / F.col("open") - 1).select("date", "symbol", "fwd", "f")
+    cut = START + datetime.timedelta(40)
+    other = rows.withColumn("fwd", F.when(F.col("date") >= cut, -5 * F.col("fwd")).otherwise(F.col("fwd")))
+    a, b = ({(r.date, r.symbol): r.score for r in attribution.learned_factor(x, ["f"], "fwd", 1, 0.7, 3).collect()} for x in (rows, other))
+    assert a == pytest.approx(b) and len(a) > 100
