@@ -35,7 +35,7 @@ WORDS, CLASSES, ENDING, SIZE = 2048, 64, 3, 16
 #: Words whose counts are sent to tasks at most; words that a task counts before it puts them out; smoothing of counts.
 KNOWN, COUNTED, SMOOTHING = 1 << 17, 1 << 18, 0.1
 #: Rounds of averaging, noise words of a batch, tokens in a batch, and the rate of steps.
-ROUNDS, NOISE, BATCH, RATE = 4, 64, 512, 0.1
+ROUNDS, NOISE, BATCH, RATE = 4, 64, 768, 0.1
 END = b""
 START = WORDS + CLASSES
 TARGETS = WORDS + CLASSES
