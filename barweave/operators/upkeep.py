@@ -188,6 +188,7 @@ def judged(trials: DataFrame) -> DataFrame:
     ``train_ic, test_ic, test_sharpe, turnover`` and ``ics``, the IC of each date outside the sample.
     """
     share, life = positive_share(F.col("ics")), halves_half_life(F.col("ics"))
+    # The thresholds of the verdict.
     ic, sharpe = F.col("test_ic"), F.col("test_sharpe")
     status = (
         F.when(ic.isNull() | (ic < 0.02), "rejected").when(sharpe < 0, "rejected").when(share < 0.52, "rejected").when(life < 2, "rejected").when(F.col("turnover") > 30, "rejected")

@@ -140,15 +140,14 @@ def calendar_sessions(spark, sf_dir):
 
 
 def _sides(spark, sf_dir):
+    """All events: those with even ids ask for what the user's odd ones held last."""
     rows = panels.table(spark, sf_dir, "events")
-    kinds = [r.event_type for r in rows.select("event_type").distinct().orderBy("event_type").limit(2).collect()]
-    left = rows.where(F.col("event_type") == kinds[0]).select("user_id", "ts", "event_id")
-    return left, rows.where(F.col("event_type") == kinds[1]).groupBy("user_id", "ts").agg(F.max("value").alias("value"))
+    even = F.col("event_id") % 2 == 0
+    return rows.where(even).select("user_id", "ts", "event_id"), rows.where(~even).groupBy("user_id", "ts").agg(F.max("value").alias("value"))
 
 
 def _as_of_sql(compare: str, pick: str) -> str:
-    return f"""WITH k AS (SELECT event_type, row_number() OVER (ORDER BY event_type) AS i FROM (SELECT DISTINCT event_type FROM events)),
-    a AS (SELECT user_id, ts, event_id FROM events WHERE event_type = (SELECT event_type FROM k WHERE i = 1)), b AS (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = (SELECT event_type FROM k WHERE i = 2) GROUP BY 1, 2)
+    return f"""WITH a AS (SELECT user_id, ts, event_id FROM events WHERE event_id % 2 = 0), b AS (SELECT user_id, ts, max(value) AS value FROM events WHERE event_id % 2 = 1 GROUP BY 1, 2)
     SELECT a.event_id, {duck.rounded(f'{pick}(b.value, b.ts)')} AS value FROM a LEFT JOIN b ON a.user_id = b.user_id AND b.ts {compare} a.ts GROUP BY a.event_id"""
 
 
