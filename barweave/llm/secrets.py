@@ -37,7 +37,8 @@ RULES = (
     Rule("access", r"AKIA[A-Z0-9]{16,}+", lambda t: t.contains("AKIA")),
     Rule("hex", r"[0-9a-f]{24,}+", lambda t: t.rlike(r"[0-9a-f]{24}")),
     # Beyond the base: forms that services publish for their own keys.
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", lambda t: t.contains("PRIVATE KEY-----")),
+    # A private key as far as its end line, or its first line where there is none.
+    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[A-Za-z0-9+/=:,\s-]*?-----END [A-Z ]{0,20}PRIVATE KEY-----)?", lambda t: t.contains("PRIVATE KEY-----")),
     Rule("jwt", r"\beyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{16,}+", lambda t: t.contains("eyJ")),
     Rule("prefixed", r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|[rs]k_live_[A-Za-z0-9]{16,}+|glpat-[A-Za-z0-9_-]{20,}+)", lambda t: t.rlike("gh[pousr]_|xox[abprs]-|k_live_|glpat-")),
 )
@@ -80,28 +81,43 @@ def scan(versions: DataFrame, due: DataFrame, rules: tuple[Rule, ...] = RULES, i
 class Ledger:
     """The stored ledger: ``blob, rule, version, spans``, a part of the folder for each arrival that was scanned.
 
-    A part that is written again (a run that is repeated after it broke off) takes the place of the old one.
+    Beside it, in ``folder``-versions, is what each path held in each arrival: ``path, blob``, its whole history. A part that is
+    written again (a run that is repeated after it broke off) takes the place of the old one.
     """
 
     spark: SparkSession
     folder: str
 
-    def load(self) -> DataFrame | None:
-        """All parts; None before the first."""
-        fs, path = _path(self.spark, self.folder)
+    def _read(self, folder: str) -> DataFrame | None:
+        fs, path = _path(self.spark, folder)
         if not fs.exists(path) or not fs.listStatus(path):
             return None
-        return self.spark.read.option("recursiveFileLookup", "true").parquet(self.folder)
+        return self.spark.read.option("recursiveFileLookup", "true").parquet(folder)
+
+    def load(self) -> DataFrame | None:
+        """All parts; None before the first."""
+        return self._read(self.folder)
 
     def add(self, scanned: DataFrame, arrival: str) -> None:
         scanned.write.mode("overwrite").parquet(f"{self.folder}/arrival-{arrival}")
 
+    def versions(self) -> DataFrame | None:
+        """``path, blob`` of every arrival; None before the first."""
+        return self._read(f"{self.folder}-versions")
 
-def take_in(versions: DataFrame, ledger: Ledger, arrival: str, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Scan the blobs of ``versions`` that the ledger lacks for a rule version, and add what was found."""
-    addressed = written(blobs(versions, id_col, text_col), "blobs")
+    def address(self, addressed: DataFrame, arrival: str) -> DataFrame:
+        """Add what the paths of an arrival hold, and read it again."""
+        where = f"{self.folder}-versions/arrival-{arrival}"
+        addressed.write.mode("overwrite").parquet(where)
+        return self.spark.read.schema(addressed.schema).parquet(where)
+
+
+def take_in(versions: DataFrame, ledger: Ledger, arrival: str, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Scan the blobs of ``versions`` that the ledger lacks for a rule version, and add what was found; returns ``path, blob`` of each row."""
+    addressed = ledger.address(blobs(versions, id_col, text_col), arrival)
     due = unseen(ledger.spark, addressed, ledger.load(), rules)
     ledger.add(scan(versions, due, rules, id_col, text_col), arrival)
+    return addressed
 
 
 def _joined_back(addressed: DataFrame, known: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
@@ -132,12 +148,11 @@ def history(arrivals: list[DataFrame], ledger: Ledger, rules: tuple[Rule, ...] =
     An arrival is a batch of versions; of each, only what neither the ledger nor an earlier arrival had is
     scanned. The rest is as in :func:`findings`.
     """
+    every = None
     for i, versions in enumerate(arrivals):
-        take_in(versions, ledger, f"{i:06d}", rules, id_col, text_col)
-    every = arrivals[0]
-    for versions in arrivals[1:]:
-        every = every.unionByName(versions)
-    return _joined_back(written(blobs(every, id_col, text_col), "blobs"), ledger.load(), rules)
+        addressed = take_in(versions, ledger, f"{i:06d}", rules, id_col, text_col)
+        every = addressed if every is None else every.unionByName(addressed)
+    return _joined_back(every, ledger.load(), rules)
 
 
 def digested(found: DataFrame) -> DataFrame:

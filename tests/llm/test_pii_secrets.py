@@ -136,6 +136,28 @@ def test_stored_ledger_scans_each_blob_once_over_arrivals(spark, tmp_path):
     assert {(r.rule, r.version) for r in spark.read.parquet(f"file://{tmp_path}/ledger/arrival-000003").collect()} == {("hex", 2)}
 
 
+def test_a_path_with_several_versions_and_a_second_run_that_scans_nothing(spark, tmp_path, monkeypatch):
+    ledger = secrets.Ledger(spark, f"file://{tmp_path}/ledger")
+    arrivals = [spark.createDataFrame(rows, "doc_id long, text string") for rows in ([(1, "token=abcdef1"), (2, "clean")], [(1, "token=abcdef1 and passwd: zzzzzz9"), (2, "clean")], [(1, "nothing any more")])]
+    found = secrets.history(arrivals, ledger).collect()
+    assert sorted((r.doc_id, len(r.spans)) for r in found) == [(1, 0), (1, 1), (1, 2), (2, 0), (2, 0)]
+    versions = ledger.versions()
+    assert versions.where("path = 1").select("blob").distinct().count() == 3 and versions.count() == 5
+    scanned = []
+    monkeypatch.setattr(secrets.Ledger, "add", lambda self, rows, arrival: scanned.append(rows.count()))
+    again = secrets.history(arrivals, secrets.Ledger(spark, ledger.folder)).collect()
+    assert scanned == [0, 0, 0] and sorted(map(str, again)) == sorted(map(str, found))
+
+
+def test_a_private_key_as_far_as_its_end(spark):
+    key = "-----BEGIN RSA PRIVATE KEY-----\nMIIEow+/IBAAK=\nabc\n-----END RSA PRIVATE KEY-----"
+    docs = [key, f"a {key} b {key}", "-----BEGIN PRIVATE KEY-----\n<cut off>", "-----BEGIN PRIVATE KEY-----" + "QUJD" * 50_000]
+    rows = [r.spans for r in sorted(secrets.digests(frame(spark, docs)).collect(), key=lambda r: r.doc_id)]
+    n = len(key)
+    spans = [[s for s in r.split(",") if s.startswith("private_key")] for r in rows]
+    assert spans == [[f"private_key:0:{n}"], [f"private_key:2:{2 + n}", f"private_key:{n + 5}:{2 * n + 5}"], ["private_key:0:27"], ["private_key:0:27"]]
+
+
 def test_the_query_of_two_arrivals_against_plain_patterns(spark, tmp_path):
     docs = TEXTS + TEXTS[-15:] + ["token=abcdef1"] * 1500
     frame(spark, docs).write.parquet(str(tmp_path / "documents.parquet"))
