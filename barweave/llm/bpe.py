@@ -23,7 +23,7 @@ from .common import held, per_text
 #: Stands for the end of a word inside the automaton; no byte maps to it.
 END = "￿"
 #: Words of a generation that a worker remembers: the one before is kept, and what is used again moves on.
-REMEMBERED = 80_000
+REMEMBERED = 100_000
 
 
 def byte_letters() -> list[str]:
@@ -125,7 +125,8 @@ class WordBpe:
     def _remember(self, word: str) -> tuple[str, str, int]:
         """What is not in this generation: from the one before, or worked out."""
         if len(self._known) >= REMEMBERED:
-            self._older, self._known = self._known, {}
+            self._older = dict(self._known)
+            self._known.clear()
         found = self._older.get(word)
         if found is None:
             found = self._worked_out(word)
@@ -144,8 +145,8 @@ class WordBpe:
         if not text.isascii():
             # Lower-casing goes letter by letter, so a final sigma is like any other.
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        remember = self._remember
-        return [self._known.get(w) or remember(w) for w in self._words(text.lower())]
+        known, remember = self._known, self._remember
+        return [known.get(w) or remember(w) for w in self._words(text.lower())]
 
     def encode_parts(self, text: str) -> tuple[int, str, str]:
         """Number of ids; the ids in decimal and the decoded tokens, each joined by a space."""
