@@ -326,6 +326,7 @@ def research_ranker(spark, sf_dir):
     names = ["activity", "range", "reversal"]
     rows = c.parted(_panel(spark, sf_dir), {n: POOL[n] for n in names})
     made = research.bucketed(rows.where(F.col("fwd").isNotNull()), "fwd", K, K).select("date", "symbol", "part", "fwd", "bucket", *names)
+    made = made.cache()  # a row for a nation and week, whatever the number of shipments; fits and scores are jobs of their own
     train, test = made.where("part = 'train'"), made.where("part = 'test'")
     out = None
     for name, weights in (("ranker", ranker.fitted(train, names, "bucket", K)), ("regression", ranker.least_squares(train, names, "fwd"))):

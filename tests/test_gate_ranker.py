@@ -143,3 +143,18 @@ def test_ranker_is_above_the_regression_on_later_dates(spark):
     mean = lambda weights: research.ndcg(ranker.scored(later, ["a", "b"], weights), "score", "bucket", 5).agg(F.avg("ndcg")).first()[0]
     assert mean(w) > mean(surrogate) + 0.02
     assert not ranker.fitted(df.limit(0), ["a", "b"], "bucket").any()
+
+
+def test_fits_and_scores_of_the_ranker_query_do_not_read_the_shipments_again(spark, monkeypatch):
+    from barweave.plans import mining_queries
+
+    read = []
+    for name in ("fitted", "least_squares", "scored"):
+        def watched(rows, *args, make=getattr(ranker, name)):
+            read.append(rows._jdf.queryExecution().withCachedData().toString())
+            return make(rows, *args)
+
+        monkeypatch.setattr(ranker, name, watched)
+    mining_queries.QUERIES["research_ranker"](spark, "/root/testdata/sf0.001")
+    assert len(read) == 4 and all("InMemoryRelation" in plan for plan in read)
+    spark.catalog.clearCache()
