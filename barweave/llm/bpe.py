@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 
 import regex
@@ -22,8 +23,16 @@ from .common import held, per_text
 
 #: Stands for the end of a word inside the automaton; no byte maps to it.
 END = "￿"
+#: Letters, digits and white space (also that of Unicode) below U+0100: inside a class of a pattern.
+_LETTERS, _DIGITS, _SPACE = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+#: What the vocabulary's pattern finds, and the same for texts below U+0100.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NARROW = re.compile(f"[{_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_DIGITS}]|[^{_SPACE}{_LETTERS}{_DIGITS}]+")
+WIDE = re.compile("[^\x00-\xff]").search
 #: Words of a generation that a worker remembers: the one before is kept, and what is used again moves on.
-REMEMBERED = 100_000
+REMEMBERED = 150_000
+#: Pairs of tokens whose test a worker remembers.
+PAIRS = 400_000
 
 
 def byte_letters() -> list[str]:
@@ -60,6 +69,7 @@ class WordBpe:
         # White space never reaches a word, so the pattern alone does what replacing it by spaces does.
         pattern = pre["pretokenizers"][0]["pattern"]["Regex"].replace("\\s", "\\p{White_Space}")
         self._words = regex.compile(pattern).findall
+        self._narrow = NARROW.findall if pre["pretokenizers"][0]["pattern"]["Regex"] == PATTERN else self._words
         self._letters = {b: c for b, c in enumerate(byte_letters())}
         #: Merge rank of a pair of ids; the two parts and the rank of a token that a merge makes.
         self._rank: dict[tuple[int, int], int] = {}
@@ -72,18 +82,22 @@ class WordBpe:
         automaton = ahocorasick.Automaton()
         for token, i in vocab.items():
             text = token[: -len(mark)] + END if token.endswith(mark) and len(token) > len(mark) else token
-            automaton.add_word(text, (i, len(text)))
+            automaton.add_word(text, (i, len(text) - 1))
         automaton.make_automaton()
         self._suffixes = automaton.iter
-        self._known: dict[str, tuple[str, str, int]] = {}
-        self._older: dict[str, tuple[str, str, int]] = {}
+        #: Tokens of a word, joined by a space (none holds one); the ids follow from them.
+        self._known: dict[str, str] = {}
+        self._older: dict[str, str] = {}
+        self._decimal = {t: str(i) for i, t in self.names.items()}
+        if len(self._decimal) < len(self.names) or any(" " in t for t in self._decimal):
+            raise ValueError("tokens must differ and hold no space")
 
     def fits(self, left: int, right: int) -> bool:
         """Whether merging leaves ``left`` and ``right`` side by side as they are."""
         key = left << 20 | right
         known = self._fits.get(key)
         if known is None:
-            if len(self._fits) >= REMEMBERED:
+            if len(self._fits) >= PAIRS:
                 self._fits.clear()
             known = self._fits[key] = self._compatible(left, right)
         return known
@@ -106,23 +120,30 @@ class WordBpe:
     def word(self, mapped: str) -> list[int]:
         """Ids of one word, given in byte letters."""
         text = mapped + END
-        size = len(text)
-        last: list[tuple[int, int] | None] = [None] * (size + 1)
-        fits = self.fits
-        for end, (token, length) in self._suffixes(text):
-            end += 1
+        # By the place of its last letter: the token that ends a prefix, where there is one yet, and the place before the token.
+        last: list[int | None] = [None] * len(text)
+        left = [-1] * len(text)
+        known, fits = self._fits.get, self.fits
+        for end, (token, back) in self._suffixes(text):
             if last[end] is None:
-                start = end - length
-                if not start or ((before := last[start]) and fits(before[0], token)):
-                    last[end] = token, start
+                before = end - back - 1
+                if before >= 0:
+                    a = last[before]
+                    if a is None:
+                        continue
+                    fit = known(a << 20 | token)
+                    if not (fits(a, token) if fit is None else fit):
+                        continue
+                last[end] = token
+                left[end] = before
         ids = []
-        at = size
-        while at:
-            token, at = last[at]
-            ids.append(token)
+        at = len(text) - 1
+        while at >= 0:
+            ids.append(last[at])
+            at = left[at]
         return ids[::-1]
 
-    def _remember(self, word: str) -> tuple[str, str, int]:
+    def _remember(self, word: str) -> str:
         """What is not in this generation: from the one before, or worked out."""
         if len(self._known) >= REMEMBERED:
             self._older = dict(self._known)
@@ -133,30 +154,34 @@ class WordBpe:
         self._known[word] = found
         return found
 
-    def _worked_out(self, word: str) -> tuple[str, str, int]:
+    def _worked_out(self, word: str) -> str:
         mapped = word if word.isascii() else "".join(map(self._letters.__getitem__, word.encode("utf-8")))
         if not mapped.isprintable():
             mapped = "".join(map(self._letters.__getitem__, word.encode("utf-8")))
-        ids = self.word(mapped)
         names = self.names
-        return " ".join(map(str, ids)), " ".join([names[i] for i in ids]), len(ids)
+        return " ".join([names[i] for i in self.word(mapped)])
 
-    def _pieces(self, text: str) -> list[tuple[str, str, int]]:
+    def _pieces(self, text: str) -> list[str]:
+        words = self._narrow
         if not text.isascii():
             # Lower-casing goes letter by letter, so a final sigma is like any other.
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            if WIDE(text):
+                words = self._words
         known, remember = self._known, self._remember
-        return [known.get(w) or remember(w) for w in self._words(text.lower())]
+        return [known.get(w) or remember(w) for w in words(text.lower())]
 
     def encode_parts(self, text: str) -> tuple[int, str, str]:
         """Number of ids; the ids in decimal and the decoded tokens, each joined by a space."""
         if self._special is not None and "<" in text and self._special.search(text):
             pieces = []
             for i, part in enumerate(self._special.split(text)):
-                pieces += [(str(self.special[part]), part, 1)] if i % 2 else self._pieces(part)
+                pieces += [part] if i % 2 else self._pieces(part)
         else:
             pieces = self._pieces(text)
-        return sum([p[2] for p in pieces]), " ".join([p[0] for p in pieces]), " ".join([p[1] for p in pieces])
+        decoded = " ".join(pieces)
+        ids = [self._decimal[t] for t in decoded.split(" ")] if pieces else []
+        return len(ids), " ".join(ids), decoded
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for i in self.encode_parts(text)[1].split()]

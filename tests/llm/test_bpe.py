@@ -61,3 +61,25 @@ def test_on_spark(spark, both):
         assert digests[r.doc_id, ids].decoded_sha256 == hashlib.sha256(r.decoded.encode()).hexdigest()
         assert r.decoded == slow.decode(r.ids, skip_special_tokens=False)
     assert bpe.encode(docs.limit(0)).count() == 0
+
+
+def test_pairs_are_remembered_longer_than_words(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 40)
+    fast, tested = bpe.WordBpe(PLACES.path("word_bpe_49k.json")), []
+    compatible = fast._compatible
+    monkeypatch.setattr(fast, "_compatible", lambda a, b: tested.append((a, b)) or compatible(a, b))
+    rng = random.Random(4)
+    text = " ".join("".join(rng.choices("aeinrstlou", k=12)) for _ in range(400))
+    first = fast.encode_parts(text)
+    n = len(tested)
+    assert n > 400 and fast.encode_parts(text) == first and len(tested) == n
+
+
+def test_the_pattern_of_narrow_texts_is_the_vocabularys(both):
+    fast, _ = both
+    rng = random.Random(5)
+    letters = [chr(i) for i in range(256)] + list("'''stremvld") * 4
+    assert fast._narrow is not fast._words
+    for _ in range(3000):
+        text = "".join(rng.choices(letters, k=40)).lower()
+        assert fast._narrow(text) == fast._words(text), text
