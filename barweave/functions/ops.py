@@ -102,11 +102,19 @@ def arg_extreme(x: Column, n: int, best) -> Column:
     return let(frame(steady(x), n), place)
 
 
+def covariance(a: Column, b: Column, w: W) -> Column:
+    """Sample covariance, with the arguments in the order in which Spark adds up the products that the SQL's ``covar_samp(a, b)`` does.
+
+    Either order is right; they differ in what rounding leaves of a covariance that is exactly 0, by which ranks may go.
+    """
+    return F.covar_samp(b, a).over(w)
+
+
 def co(a: Column, b: Column, w: W, mp: int, what: str) -> Column:
     """Covariance or correlation over the rows of a window where both are there."""
     both = a.isNotNull() & b.isNotNull()
     x, y = F.when(both, a), F.when(both, b)
-    value = F.covar_samp(x, y).over(w)
+    value = covariance(x, y, w)
     if what == "corr":
         value = ratio(value, F.stddev_samp(x).over(w) * F.stddev_samp(y).over(w))
     return gated(value, x, w, mp)
@@ -132,7 +140,7 @@ def ewm(x: Column, alpha: float) -> Column:
 def slope(y: Column, n: int) -> Column:
     """Least-squares slope against the row number; NULL if the window has a gap."""
     w, t = trailing(n), F.col(ROW).cast("double")
-    value = ratio(F.covar_samp(t, y).over(w), F.var_samp(t).over(w))
+    value = ratio(covariance(t, y, w), F.var_samp(t).over(w))
     full = F.count(y).over(w) == F.count(F.lit(1)).over(w)
     return gated(F.when(full, value), y, w, max(2, n // 2))
 
@@ -277,7 +285,7 @@ class SparkBackend:
                 w = trailing(k)
                 both = x.isNotNull() & args[1].isNotNull()
                 y, z = F.when(both, x), F.when(both, args[1])
-                beta = gated(ratio(F.covar_samp(y, z).over(w), F.var_samp(z).over(w)), y, w, max(2, k // 2))
+                beta = gated(ratio(covariance(y, z, w), F.var_samp(z).over(w)), y, w, max(2, k // 2))
                 if name == "reg_beta":
                     return beta
                 return x - (F.avg(y).over(w) - beta * F.avg(z).over(w) + beta * args[1])

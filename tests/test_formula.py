@@ -1,8 +1,11 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from barweave.functions import factors, formula, ops
+from barweave.functions.ops import with_factors
+from barweave.plans import duck
 
 
 def panel(spark, n=40, symbols=4, seed=0, gaps=False):
@@ -92,3 +95,29 @@ def test_every_named_factor_parses_and_own_ones_come_first(spark):
 def test_fill_and_infinities(spark):
     out = ops.with_factors(panel(spark, 6, 2), {"a": "close/(close-close)", "b": "delay(close,3)"}).toPandas()
     assert (out["a"] == 0).all() and out["b"].notna().all()
+
+
+#: Twice the ranks of high and of volume on three dates, by symbol; on the last one several symbols' correlations over the three are exactly 0.
+HIGH = (
+    (34, 28, 40, 24, 6, 32, 2, 16, 44, 20, 42, 30, 50, 22, 36, 38, 46, 8, 10, 12, 4, 14, 18, 26, 48),
+    (38, 34, 28, 10, 30, 26, 14, 24, 2, 18, 40, 32, 12, 46, 50, 20, 42, 48, 22, 6, 16, 44, 8, 4, 36),
+    (24, 22, 20, 4, 50, 46, 38, 26, 14, 40, 10, 6, 18, 2, 28, 8, 30, 48, 42, 32, 36, 16, 44, 34, 12),
+)
+VOLUME = (
+    (50, 4, 14, 19, 6, 28, 42, 46, 36, 32, 10, 38, 26, 2, 34, 12, 40, 44, 8, 30, 48, 22, 19, 16, 24),
+    (38, 6, 8, 10, 24, 16, 18, 28, 32, 30, 14, 22, 44, 4, 40, 34, 36, 46, 12, 48, 26, 20, 50, 2, 42),
+    (46, 6, 38, 2, 28, 36, 30, 20, 14, 44, 26, 18, 8, 16, 48, 12, 50, 34, 10, 32, 40, 22, 42, 4, 24),
+)
+
+
+def test_correlations_of_zero_rank_as_in_the_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(f"2024-01-0{d + 1}", f"s{i:02d}", float(h), float(v)) for d in range(3) for i, (h, v) in enumerate(zip(HIGH[d], VOLUME[d], strict=True))]
+    panel = spark.createDataFrame(rows, "date string, symbol string, high double, volume double").withColumn("date", F.to_date("date"))
+    formulas = {"f": "R(corr(R(high),R(volume),3))", "cov": "R(cov(R(high),R(volume),3))"}
+    got = {(str(r.date), r.symbol): (r.f, r.cov) for r in with_factors(panel, formulas).collect()}
+    made = ", ".join(f"('{d}'::DATE, '{s}', {h}::DOUBLE, {v}::DOUBLE)" for d, s, h, v in rows)
+    sql = duck.factor_query(formulas, f"panel AS (SELECT * FROM (VALUES {made}) t(date, symbol, high, volume))")
+    want = {(d, s): values for d, s, *values in duckdb.sql(sql).fetchall()}
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], abs=1e-5) for k in want)
