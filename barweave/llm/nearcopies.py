@@ -6,17 +6,17 @@ the budget goes. Sets that are alike by 0.8 differ in 78 of 512 bits on average
 choice of exact *bits* as roots finds such pairs in work that does not grow with the square of the corpus. The
 roots are therefore exact least values of the set: a node hangs in ``BANDS`` tries, rooted at ``ROWS`` MinHash values each;
 a pair with similarity s shares no root with chance (1 - s ** ROWS) ** BANDS, which is 3e-6 at 0.8 and less
-above. Below such a root few nodes hang, so that all their bits are added up in one step; those over the budget
-(sets that are alike by less than about 0.6) go in the join itself. What is left of the pairs is confirmed on
-the whole shingle sets.
+above. Below a root the words of the fingerprints follow, ``LEVEL`` to a level, and :func:`walk` expands pairs of nodes together
+level by level, as operator 3 does, each with the bits that differ so far; over the budget (sets that are alike by less
+than about 0.6) it goes. What is left of the pairs is confirmed on the whole shingle sets.
 
-Only which nodes hang together is asked for, so a pair inside one component need not be looked at. In rounds, the
-nodes below a root are compared with a few of its largest component, others in each round, which joins large groups of
-copies in a number of pairs that grows with the group. What is then still apart, but below one root, may be many
+Only which sets hang together is asked for, so a pair of nodes below which there is one component is not walked. In rounds, one side
+of the walk is the whole trie below a root and the other the tries of a few leaves of its largest component, others in each round, which
+joins large groups of copies in a number of pairs that grows with the group. What is then still apart, but below one root, may be many
 texts of one family that are just not similar enough. Of them only pairs can matter that share one of
-the rarest ninth of the smaller set's shingles and the rarest fifth of the larger one's: similar sets cannot lack all of these. So they
-meet by such shingles; where a shingle stands in the two orders bounds what can be common to both (the prefix and
-the position filter of set joins, which are exact), and pairs within that and the bit budget are confirmed.
+the rarest ninth of the smaller set's shingles and the rarest fifth of the larger one's: similar sets cannot lack all of these. So their
+tries are rooted at such shingles and walked in the same way; where a shingle stands in the two orders bounds what can be common to both (the
+prefix and the position filter of set joins, which are exact), and that prunes pairs of nodes as the budget does.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ BROADCAST = 50_000
 _SEEDS = _mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FACTORS = _mix(_SEEDS) | np.uint64(1)
 _PRINT = [f"fp{i}" for i in range(WORDS)]
+#: Words of a fingerprint to a level of the tries.
+LEVEL = 2
 
 
 def shingles(text: str) -> np.ndarray:
@@ -130,17 +132,52 @@ def _rare(apart: DataFrame, sets: DataFrame) -> DataFrame:
     return rare.join(several, "token", "left_semi")
 
 
+def _prefix(depth: int) -> Column:
+    """The name of a leaf's node at a depth: 0 for the root, the hash of the words so far, and at last the leaf's own number."""
+    if not depth:
+        return F.lit(0).cast("long")
+    return F.xxhash64(*_PRINT[: depth * LEVEL]) if depth * LEVEL < WORDS else F.col("node")
+
+
+def _level(leaves: DataFrame, depth: int, side: str) -> DataFrame:
+    """The trie nodes one below ``depth``, with the words of that level and, over the leaves below each: components, sizes and ``top``."""
+    words = _PRINT[depth * LEVEL : (depth + 1) * LEVEL]
+    held = {"low": F.min("root"), "high": F.max("root"), "least": F.min("n"), "most": F.max("n"), "top": F.max("top")} | {c: F.first(c) for c in words}
+    return leaves.groupBy("key", _prefix(depth).alias(side), _prefix(depth + 1).alias(f"{side}_down")).agg(*(v.alias(f"{k}_{side}") for k, v in held.items()))
+
+
+def walk(left: DataFrame, right: DataFrame, ordered: bool = False) -> DataFrame:
+    """``a, b``: leaves of ``left`` and ``right`` below one ``key``, of different components, that may be similar, each pair once.
+
+    Both hold ``key, node, root, n, top`` and the fingerprint, a node once for each key; ``top`` bounds what a set can have in common with another
+    that it meets below that key. From the roots on, pairs of trie nodes are expanded together level by level, each carrying the bits
+    that differ so far. A pair goes if they are over the budget, if all leaves below it are of one component, or if
+    none below it can have enough in common; with ``ordered``, also if no set on the left is the smaller one (of equal ones: by number).
+    """
+    pairs = None
+    for depth in range(WORDS // LEVEL):
+        a, b = _level(left, depth, "a"), _level(right, depth, "b")
+        met = a.drop("a").join(b.drop("b"), "key").withColumn("off", F.lit(0)) if pairs is None else pairs.join(a, ["key", "a"]).join(b, ["key", "b"])
+        words = _PRINT[depth * LEVEL : (depth + 1) * LEVEL]
+        off = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in words), F.col("off"))
+        several = F.least("low_a", "low_b") < F.greatest("high_a", "high_b")
+        enough = F.least("top_a", "top_b") * (1 + LEAST) >= LEAST * (F.col("least_a") + F.col("least_b")) - 1e-9
+        near = several & (off <= BUDGET) & enough
+        if ordered:
+            leaves = (depth + 1) * LEVEL >= WORDS
+            near &= F.struct("least_a", "a_down") < F.struct("most_b", "b_down") if leaves else F.col("least_a") <= F.col("most_b")
+        pairs = met.where(near).select("key", F.col("a_down").alias("a"), F.col("b_down").alias("b"), off.cast("int").alias("off"))
+    return pairs.select("a", "b").distinct()
+
+
 def _meeting(rare: DataFrame) -> DataFrame:
-    """``a, b``: pairs of :func:`_rare` that share a token, in different components, and may be similar by their sizes and the token's places.
+    """``a, b``: pairs of :func:`_rare` below a token that both have, in different components, that may be similar by their bits, sizes and the token's places.
 
     At the first token that two sets share, all that is common to them stands from there on. A pair that cannot be similar by
     that is not at its first token, or not similar; so similar pairs are met at their first token at least, and most of the others never.
     """
-    large = rare.select("token", *(F.col(c).alias(f"{c}_b") for c in ("root", "n", "m", "at")), F.col("node").alias("b"))
-    small = rare.where("small").drop("small")
-    common = F.least(F.col("m") - F.col("at"), F.col("m_b") - F.col("at_b"))
-    fits = (F.col("root") != F.col("root_b")) & (F.struct("n", "node") < F.struct(F.col("n_b"), F.col("b"))) & (common * (1 + LEAST) >= LEAST * (F.col("n") + F.col("n_b")) - 1e-9)
-    return small.join(large, (small["token"] == large["token"]) & fits).select(F.col("node").alias("a"), "b").distinct()
+    leaves = rare.select(F.col("token").alias("key"), "node", "root", "n", (F.col("m") - F.col("at")).alias("top"), "small", *_PRINT)
+    return walk(leaves.where("small"), leaves, ordered=True)
 
 
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -166,20 +203,21 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             break
         last = k == ROUNDS or across <= PAIRS * n_rows
         if last:
-            here = placed.join(apart.select("band"), "band", "left_semi").drop("band").dropDuplicates(["node"])
-            here = written(here, "here")
-            rare = written(_rare(here.select("node", "root", "n"), sets), "rare")
-            met = _meeting(rare).withColumnRenamed("a", "node").join(here, "node")
-            met = met.join(here.select(F.col("node").alias("b"), *(F.col(c).alias(f"{c}_b") for c in ("root", "n", *_PRINT))), "b")
+            here = written(placed.join(apart.select("band"), "band", "left_semi").drop("band").dropDuplicates(["node"]), "here")
+            rare = written(_rare(here.select("node", "root", "n"), sets).join(here.select("node", *_PRINT), "node"), "rare")
+            met = _meeting(rare)
+            used = [apart, here, rare]
         else:
-            leaders = apart.select("band", F.col("leader.root").alias("root_b"), F.explode(F.array_distinct("leader.some")).alias("one"))
-            met = placed.join(leaders.select("band", "root_b", F.col("one.node").alias("b"), F.col("one.n").alias("n_b"), *(F.col(f"one.{c}").alias(f"{c}_b") for c in _PRINT)), "band")
-        off = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in _PRINT), F.lit(0))
-        near = (F.col("root") != F.col("root_b")) & (off <= BUDGET) & (F.least("n", "n_b") >= F.ceil(LEAST * F.greatest("n", "n_b")))
-        pairs = met.where(near).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+            leaders = apart.select(F.col("band").alias("key"), F.col("leader.root").alias("root"), F.explode(F.array_distinct("leader.some")).alias("one"))
+            leaders = leaders.select("key", "root", "one.*").withColumn("top", F.col("n"))
+            leaves = placed.join(apart.select("band"), "band", "left_semi").withColumnRenamed("band", "key").withColumn("top", F.col("n"))
+            leaves = written(leaves, "leaves")
+            met = walk(leaders, leaves)
+            used = [apart, leaves]
+        pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         new = written(_confirmed(pairs, sets), "near")
-        for used in (apart, here, rare) if last else (apart,):
-            drop_written(spark, used)
+        for df in used:
+            drop_written(spark, df)
         found = new if found is None else found.unionByName(new)
         labels = components(found)
         if last:

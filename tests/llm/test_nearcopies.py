@@ -98,3 +98,50 @@ def test_texts_of_one_template_that_are_no_near_copies_meet_in_pairs_that_grow_w
         assert max(len(a & b) / len(a | b) for a in sets for b in sets if a is not b) < 0.8 + 1e-9 or kept <= set(range(n))
         assert len(kept) > 0.9 * n
     assert all(pairs <= 20 * n for (_, pairs), n in zip(made, (250, 1000), strict=False))
+
+
+def leaves_below(rng, keys=3, bases=6, each=7):
+    """``key, node, root, n, top`` and eight words: families of fingerprints, of which some share their first words, some all."""
+    rows = []
+    for node in range(bases * each):
+        rng_base = random.Random(node // each)
+        words = [rng_base.getrandbits(64) for _ in range(8)]
+        for bit in rng.sample(range(64 * rng.randrange(8), 512), rng.choice((0, 0, 20, 50, 58, 59, 64))):
+            words[bit // 64] ^= 1 << bit % 64
+        words = [w - (1 << 64) if w >> 63 else w for w in words]
+        n, root = rng.choice((80, 90, 100, 100)), rng.choice((node, node // each * each))
+        for key in rng.sample(range(keys), rng.randrange(1, keys + 1)):
+            rows.append((key, node, root, n, n - rng.choice((0, 0, 0, 5, 30)), *words))
+    return rows
+
+
+def test_walk_finds_all_pairs_below_a_root_within_the_budget(spark):
+    rows = leaves_below(random.Random(1))
+    leaves = spark.createDataFrame(rows, "key long, node long, root long, n int, top int, " + ", ".join(f"fp{i} long" for i in range(8)))
+
+    def brute(left, ordered):
+        out, over = set(), 0
+        for x in left:
+            for y in rows:
+                off = sum(((p ^ q) % (1 << 64)).bit_count() for p, q in zip(x[5:], y[5:], strict=True))
+                fits = x[0] == y[0] and x[2] != y[2] and min(x[4], y[4]) * 1.8 >= 0.8 * (x[3] + y[3]) - 1e-9 and (not ordered or (x[3], x[1]) < (y[3], y[1]))
+                over += fits and off > nearcopies.BUDGET
+                if fits and off <= nearcopies.BUDGET:
+                    out.add((x[1], y[1]))
+        assert over and out
+        return out
+
+    for ordered in (False, True):
+        got = [tuple(r) for r in nearcopies.walk(leaves, leaves, ordered).collect()]
+        assert len(got) == len(set(got)) and set(got) == brute(rows, ordered)
+    few = [r for r in rows if r[1] % 5 == 0]
+    assert {tuple(r) for r in nearcopies.walk(leaves.where("node % 5 = 0"), leaves).collect()} == brute(few, False)
+
+
+def test_every_pair_of_the_stage_is_walked_level_by_level(spark, monkeypatch):
+    depths, level = [], nearcopies._level
+    monkeypatch.setattr(nearcopies, "_level", lambda leaves, depth, side: depths.append((depth, side)) or level(leaves, depth, side))
+    rows = planted()
+    kept = {r.doc_id for r in nearcopies.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    once = [(d, side) for d in range(nearcopies.WORDS // nearcopies.LEVEL) for side in "ab"]
+    assert kept == brute_kept(rows) and len(once) > 4 and depths == once * (nearcopies.ROUNDS + 1)
